@@ -60,3 +60,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``passagekit`` importable in Python workers (once per context).
+
+    Zips the installed package next to the shared folder and registers it
+    with ``addPyFile``; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    import tempfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = shared_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local or not local.startswith("/"):
+        local = tempfile.gettempdir()
+    out = os.path.join(local, "passagekit-dist", uuid.uuid4().hex[:12])
+    os.makedirs(out, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(out, "passagekit"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="passagekit")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition only when a scan yields fewer partitions than
+    the cluster has cores (e.g. a single-row-group file feeding CPU-heavy
+    parsing or encoding). Large inputs already have enough splits and pass
+    through untouched."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True):
+    df = table(spark, sf_dir, name)
+    return spread(df) if spread_rows else df
