@@ -139,12 +139,13 @@ def passage_prefix_for(model: str | None) -> str:
 
 
 def passage_text(model: str | None = None, add_tags: bool = False, add_first_sentence: bool = False,
-                 text: str = "text", headers: str = "headers", first_sentence: str = "first_sentence") -> Column:
+                 text: str = "text", headers: str = "headers", first_sentence: str = "first_sentence",
+                 prefix: str | None = None) -> Column:
     """Text handed to the passage encoder: prefix, then optional headers, then
     optional first sentence (each prepended in that order, so the prefix ends
     up inside)."""
     out = F.col(text)
-    p = passage_prefix_for(model)
+    p = prefix if prefix is not None else passage_prefix_for(model)
     if p:
         out = F.concat(F.lit(p), out)
     if add_tags:

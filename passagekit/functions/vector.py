@@ -16,5 +16,7 @@ def l2_normalize(v: Column) -> Column:
     """Unit-length copy of ``v`` as float; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm)
+    # the norm enters the lambda as a zipped argument: computed once per row
+    z = F.arrays_zip(v.alias("x"), F.array_repeat(norm, F.size(v)).alias("n"))
+    return F.transform(z, lambda e: F.when(e["n"] > 0, e["x"].cast("double") / e["n"])
                        .otherwise(F.lit(0.0)).cast("float"))

@@ -140,8 +140,13 @@ def dedup_keys(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
     ``id1``/``file``: ids before dedup; ``dup``: a later copy of an earlier
     text; ``id``: dense id among survivors (null for copies).
     """
-    ids1 = dense_index(_keys(sections), ["doc_id", "sec"],
-                       F.floor(F.col("doc_id") / bucket_docs), "id1")
+    return dedup_keys_hashed(_keys(sections), rows_per_file, bucket_docs)
+
+
+def dedup_keys_hashed(keys: DataFrame, rows_per_file: int = ROWS_PER_FILE,
+                      bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """As :func:`dedup_keys`, from ``(doc_id, sec, h)`` rows."""
+    ids1 = dense_index(keys, ["doc_id", "sec"], F.floor(F.col("doc_id") / bucket_docs), "id1")
     # first copy per text hash: partial min() on the map side, skew-proof
     first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
     id2 = dense_index(first.select("id1"), ["id1"],

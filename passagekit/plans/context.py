@@ -8,9 +8,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import query_text
 from ..operators import corpus, encode, knn, retrieve
-from ..session import load
+from ..session import load, scratch_path
 from ..sources import fixtures as fx
+from ..sources import writers
+from . import corpus_build, index_build
 
 ROWS_PER_FILE = 250          # small stand-in for 250,000 rows per file
 RETRIEVER_K = 20
@@ -41,10 +44,19 @@ class Inputs:
     def kept(self) -> DataFrame:
         return corpus.filter_sections(self.sections_all)
 
+    @cached_property
+    def staged(self) -> DataFrame:
+        """Parsed, filtered sections with text hash, written once."""
+        return corpus_build.stage_sections(self.articles, scratch_path(self.spark, "staged"))
+
     @cached_property
     def corpus(self) -> DataFrame:
-        """Deduplicated sections ``(id, text, first_sentence, file, id1, doc_id, sec)``."""
-        return corpus.dedup_exact(self.kept, ROWS_PER_FILE)
+        """Deduplicated sections ``(id, text, first_sentence, file, id1, doc_id,
+        sec)``, written partitioned by ``file``."""
+        path = scratch_path(self.spark, "sections")
+        final = corpus_build.dedup_staged(self.staged, ROWS_PER_FILE)
+        writers.write_sections(final, path, extra_columns=["id1", "doc_id", "sec"])
+        return self.spark.read.parquet(path)
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -57,11 +69,11 @@ class Inputs:
 
     @cached_property
     def section_vectors(self) -> DataFrame:
-        return encode.encode(self.corpus.select("id", "text"), self.encoder).select("id", "embedding")
+        """The index: ``(id, embedding)`` written once."""
+        return index_build.build_index(self.corpus, self.encoder, scratch_path(self.spark, "index"))
 
     @cached_property
     def query_vectors(self) -> DataFrame:
-        from ..functions.text import query_text
         q = self.questions.select("prompt_id", query_text(prefix=self.encoder.query_prefix).alias("qt"))
         return encode.encode(q, self.encoder, "qt", "embedding").select("prompt_id", "embedding")
 

@@ -32,12 +32,17 @@ BAD_JSON_EVERY = 13          # api body 'not json'
 def articles(documents: DataFrame) -> DataFrame:
     """``(doc_id, text)``: documents with headings, references, braces and
     padding planted line by line (first matching rule wins)."""
-    m = F.pmod(F.col("doc_id"), F.lit(10))
+    # Row-level values enter the lambda through the zipped argument (computed
+    # once per row); referencing them inside the lambda would re-evaluate
+    # the split for every line.
     lines = F.split(F.col("text"), "\n", -1)
-    mid = F.floor(F.size(lines) / 2)
+    n = F.size(lines)
+    ctx = F.arrays_zip(lines.alias("l"),
+                       F.array_repeat(F.floor(n / 2).cast("int"), n).alias("mid"),
+                       F.array_repeat(F.pmod(F.col("doc_id"), F.lit(10)).cast("int"), n).alias("m"))
 
-    def rule(line, i):
-        at_mid = i == mid
+    def rule(c, i):
+        line, at_mid, m = c["l"], i == c["mid"], c["m"]
         return (F.when(at_mid & (m == 2), F.lit(LONG_HEADING))
                 .when((i == 0) & (m == 3), F.concat(F.lit(DISAMBIGUATION_PREFIX), line))
                 .when(at_mid & (m == 4), F.concat(F.lit("{"), line, F.lit("}")))
@@ -50,7 +55,7 @@ def articles(documents: DataFrame) -> DataFrame:
                       F.concat(F.lit("== "), F.regexp_replace(line, r"\.+$", ""), F.lit(" ==")))
                 .otherwise(line))
 
-    return documents.select("doc_id", F.array_join(F.transform(lines, rule), "\n").alias("text"))
+    return documents.select("doc_id", F.array_join(F.transform(ctx, rule), "\n").alias("text"))
 
 
 def api_responses(documents: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 CONTEXT_COLUMNS = ["prompt", "context", "A", "B", "C", "D", "E", "answer"]
 
 
-def write_sections(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_sections(df: DataFrame, path: str, mode: str = "overwrite",
+                   extra_columns: list[str] | None = None) -> None:
     """One Parquet directory per ``file`` value (250,000 rows each by default);
     repartitioning by ``file`` makes one output file per directory."""
-    (df.select("id", "text", "first_sentence", "file").repartition("file")
+    (df.select("id", "text", "first_sentence", "file", *(extra_columns or [])).repartition("file")
      .sortWithinPartitions("id").write.mode(mode).partitionBy("file").parquet(path))
 
 
