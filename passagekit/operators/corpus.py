@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arith import idiv
 from ..functions.text import (
     DISAMBIGUATION_PHRASE, FIRST_SENTENCE_CHARS, MIN_SECTION_LEN,
     article_section_texts, line_class, py_strip,
@@ -26,6 +27,7 @@ ROWS_PER_FILE = 250_000     # sections per output file
 BUCKET_DOCS = 1 << 16       # documents per numbering bucket
 
 
+
 # ---------------------------------------------------------------------------
 # Lines and sections
 # ---------------------------------------------------------------------------
@@ -121,8 +123,8 @@ def dense_index(df: DataFrame, order_cols: list[str], bucket: Column, id_col: st
 def with_section_ids(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
                      bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Dense ids in ``(doc_id, sec)`` order and the file each id goes to."""
-    out = dense_index(sections, ["doc_id", "sec"], F.floor(F.col("doc_id") / bucket_docs))
-    return out.withColumn("file", F.floor(F.col("id") / rows_per_file).cast("int"))
+    out = dense_index(sections, ["doc_id", "sec"], idiv("doc_id", bucket_docs))
+    return out.withColumn("file", idiv("id", rows_per_file).cast("int"))
 
 
 # ---------------------------------------------------------------------------
@@ -146,14 +148,14 @@ def dedup_keys(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
 def dedup_keys_hashed(keys: DataFrame, rows_per_file: int = ROWS_PER_FILE,
                       bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """As :func:`dedup_keys`, from ``(doc_id, sec, h)`` rows."""
-    ids1 = dense_index(keys, ["doc_id", "sec"], F.floor(F.col("doc_id") / bucket_docs), "id1")
+    ids1 = dense_index(keys, ["doc_id", "sec"], idiv("doc_id", bucket_docs), "id1")
     # first copy per text hash: partial min() on the map side, skew-proof
     first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
     id2 = dense_index(first.select("id1"), ["id1"],
-                      F.floor(F.col("id1") / (bucket_docs * 8)), "id")
+                      idiv("id1", bucket_docs * 8), "id")
     return (ids1.join(id2, "id1", "left")
             .select("doc_id", "sec", "id1",
-                    F.floor(F.col("id1") / rows_per_file).cast("int").alias("file"),
+                    idiv("id1", rows_per_file).cast("int").alias("file"),
                     F.col("id").isNull().alias("dup"), "id"))
 
 
@@ -171,7 +173,13 @@ def dedup_stats(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
                 bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Per pre-dedup file and in total: ``(file, is_total, original,
     duplicated, final)``; the total row has ``file`` null."""
-    keys = dedup_keys(sections, rows_per_file, bucket_docs)
+    return dedup_stats_keys(_keys(sections), rows_per_file, bucket_docs)
+
+
+def dedup_stats_keys(keys: DataFrame, rows_per_file: int = ROWS_PER_FILE,
+                     bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """As :func:`dedup_stats`, from ``(doc_id, sec, h)`` key rows."""
+    keys = dedup_keys_hashed(keys, rows_per_file, bucket_docs)
     agg = keys.rollup("file").agg(
         F.count(F.lit(1)).alias("original"),
         F.sum(F.col("dup").cast("long")).alias("duplicated"),

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arith import idiv
 from ..session import ship_package
 
 MAX_BROADCAST_BYTES = 64 << 20     # query matrix kept on every executor
@@ -241,11 +242,11 @@ def knn_sharded(queries: DataFrame, vectors: DataFrame, k: int = 20, shard_col:
 def shard_of(idx, n, shards: int):
     """Contiguous near-equal split of ``n`` dense ids into ``shards`` parts,
     the first ``n mod shards`` parts one longer (same rule as array_split)."""
-    q = F.floor(n / shards)
-    r = n - q * shards
+    q = idiv(F.lit(n), shards)
+    r = F.lit(n) - q * shards
     big = r * (q + 1)
-    return F.when(idx < big, F.floor(idx / (q + 1))).otherwise(
-        r + F.floor((idx - big) / F.greatest(q, F.lit(1)))).cast("int")
+    return F.when(idx < big, idiv(idx, q + 1)).otherwise(
+        r + idiv(idx - big, F.greatest(q, F.lit(1)))).cast("int")
 
 
 def shard_vectors(vectors: DataFrame, shards: int = 16, id_col: str = "id") -> DataFrame:
@@ -255,7 +256,7 @@ def shard_vectors(vectors: DataFrame, shards: int = 16, id_col: str = "id") -> D
     a per-row expression: no window, no shuffle.
     """
     n = vectors.select(F.count(F.lit(1))).scalar()
-    q = F.floor(n / shards)
+    q = idiv(n, shards)
     r = n - q * shards
     sh = shard_of(F.col(id_col), n, shards)
     start = F.when(sh < r, sh * (q + 1)).otherwise(r * (q + 1) + (sh - r) * q)

@@ -73,7 +73,7 @@ def q_dedup_exact(spark, d):
 
 
 def q_dedup_stats(spark, d):
-    return corpus.dedup_stats(_i(spark, d).kept, ROWS_PER_FILE)
+    return corpus.dedup_stats_keys(_i(spark, d).staged.select("doc_id", "sec", "h"), ROWS_PER_FILE)
 
 
 def q_reindex_ids(spark, d):
