@@ -39,12 +39,13 @@ def with_scores(df: DataFrame, preds: str = "preds", label: str = "label", k: in
 def map_at_k(df: DataFrame, k: int = 3, preds: str = "preds", label: str = "label") -> DataFrame:
     """One row: ``(n, map_at_3, accuracy)``."""
     s = with_scores(df, preds, label, k)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.avg("ap").alias(f"map_at_{k}"),
-                 F.avg("correct").alias("accuracy"))
+    # rounded to 9 decimals: sums of 1/r are order-sensitive in the last bits
+    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ap"), 9).alias(f"map_at_{k}"),
+                 F.round(F.avg("correct"), 9).alias("accuracy"))
 
 
 def accuracy(df: DataFrame, preds: str = "preds", label: str = "label") -> DataFrame:
-    return with_scores(df, preds, label).agg(F.avg("correct").alias("accuracy"))
+    return with_scores(df, preds, label).agg(F.round(F.avg("correct"), 9).alias("accuracy"))
 
 
 def pred_letters(df: DataFrame, preds: str = "preds", label: str = "label", id_col: str = "id") -> DataFrame:

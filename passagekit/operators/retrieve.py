@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.vector import sq_l2
+from ..session import broadcast_if_small
 
 CONTEXT_SEPARATOR = "<SS>"   # fixed value: appended after every context line
+BROADCAST_KEY_ROWS = 2_000_000   # distinct hit keys broadcast at most (~32 MB)
+MAX_PRUNED_FILES = 100_000       # hit files turned into a partition filter at most
 RETRIEVER_K = 20
 CONTEXT_TOP_K = 35
 
@@ -30,13 +33,21 @@ def hit_files(selected: DataFrame) -> DataFrame:
     return selected.select("file").distinct()
 
 
-def load_articles(selected: DataFrame, sections: DataFrame) -> DataFrame:
+def load_articles(selected: DataFrame, sections: DataFrame,
+                  broadcast_rows: int = BROADCAST_KEY_ROWS, max_files: int = MAX_PRUNED_FILES) -> DataFrame:
     """Sections that were hit, once each: left-semi join on ``(file, id)``.
 
-    When ``sections`` is a Parquet table partitioned by ``file`` the join key
-    lets dynamic partition pruning skip files without hits.
+    Files without hits are never opened: the distinct hit files (at most one
+    row per section file, checked against ``max_files``) become a
+    ``file IN (...)`` partition filter on the scan. The distinct hit keys are
+    broadcast when a count proves them small (16 bytes a key), otherwise the
+    semi join shuffles.
     """
-    keys = selected.select("file", "id")
+    if "file" in sections.columns:
+        files = selected.select("file").distinct()
+        if files.count() <= max_files:
+            sections = sections.where(F.col("file").isin([r[0] for r in files.collect()]))
+    keys = broadcast_if_small(selected.select("file", "id").distinct(), broadcast_rows)
     return sections.join(keys, ["file", "id"], "left_semi").dropDuplicates(["id"])
 
 

@@ -79,7 +79,10 @@ class Inputs:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return knn.knn(self.query_vectors, self.section_vectors, RETRIEVER_K)
+        """Search result ``(prompt_id, rank, id, dist)``, written once."""
+        path = scratch_path(self.spark, "hits")
+        knn.knn(self.query_vectors, self.section_vectors, RETRIEVER_K).write.parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def selected(self) -> DataFrame:

@@ -104,3 +104,11 @@ def spread(df, min_partitions: int | None = None):
 def load(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True):
     df = table(spark, sf_dir, name)
     return spread(df) if spread_rows else df
+
+
+def broadcast_if_small(df, max_rows: int):
+    """``F.broadcast(df)`` when a count proves it has at most ``max_rows``
+    rows, else ``df`` unchanged (the planner/AQE then picks a shuffle join).
+    The count runs a job: call it on materialised or cheap inputs."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
