@@ -8,12 +8,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import query_text
-from ..operators import corpus, encode, knn, retrieve
+from ..operators import corpus, encode
 from ..session import load, scratch_path
 from ..sources import fixtures as fx
 from ..sources import writers
-from . import corpus_build, index_build
+from . import corpus_build, index_build, retrieval
 
 ROWS_PER_FILE = 250          # small stand-in for 250,000 rows per file
 RETRIEVER_K = 20
@@ -73,39 +72,37 @@ class Inputs:
         return index_build.build_index(self.corpus, self.encoder, scratch_path(self.spark, "index"))
 
     @cached_property
+    def retrieval(self) -> retrieval.Retrieval:
+        return retrieval.retrieve_contexts(self.questions, self.corpus, self.meta, self.section_vectors,
+                                           self.encoder, RETRIEVER_K, CONTEXT_TOP_K)
+
+    @property
     def query_vectors(self) -> DataFrame:
-        q = self.questions.select("prompt_id", query_text(prefix=self.encoder.query_prefix).alias("qt"))
-        return encode.encode(q, self.encoder, "qt", "embedding").select("prompt_id", "embedding")
+        return self.retrieval.query_vectors
 
-    @cached_property
+    @property
     def hits(self) -> DataFrame:
-        """Search result ``(prompt_id, rank, id, dist)``, written once."""
-        path = scratch_path(self.spark, "hits")
-        knn.knn(self.query_vectors, self.section_vectors, RETRIEVER_K).write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.retrieval.hits
 
-    @cached_property
+    @property
     def selected(self) -> DataFrame:
-        return retrieve.select_articles(self.hits, self.meta)
+        return self.retrieval.selected
 
-    @cached_property
+    @property
     def loaded(self) -> DataFrame:
-        return retrieve.load_articles(self.selected, self.corpus.select("id", "text", "first_sentence", "file"))
+        return self.retrieval.loaded
 
-    @cached_property
+    @property
     def lines(self) -> DataFrame:
-        return retrieve.split_lines(self.loaded)
+        return self.retrieval.lines
 
-    @cached_property
+    @property
     def ranked(self) -> DataFrame:
-        lv = encode.encode(self.lines, self.encoder, "text", "embedding",
-                           prefix=self.encoder.passage_prefix)
-        qv = self.query_vectors.withColumnRenamed("embedding", "qvec")
-        return retrieve.rerank(self.hits, lv, qv, CONTEXT_TOP_K)
+        return self.retrieval.ranked
 
-    @cached_property
+    @property
     def contexts(self) -> DataFrame:
-        return retrieve.context_dataset(self.questions, retrieve.build_context(self.ranked))
+        return self.retrieval.contexts
 
     # ---- vectors ---------------------------------------------------------------
     @cached_property

@@ -18,7 +18,7 @@ from ..operators import choices, corpus, encode, evaluate, knn, retrieve
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import readers, writers
-from .context import CONTEXT_TOP_K, QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
+from .context import QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
 
 # Fixed test positions for the row-drop operator: the reference's eight
 # positions (beyond our tables) plus three that exist.
