@@ -120,6 +120,33 @@ def dense_index(df: DataFrame, order_cols: list[str], bucket: Column, id_col: st
             .drop("_b", "_off"))
 
 
+def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path: str,
+                       rows_per_range: int = 4_000_000) -> DataFrame:
+    """Dense 0-based positions in ``order_cols`` order, balanced by data.
+
+    Rows are range-partitioned on the order (bounds from Spark's sample, so
+    every range holds about ``rows_per_range`` rows whatever the key
+    distribution) and written once with their range number: the write fixes
+    the assignment, so recomputation after an executor loss cannot move a
+    row to another range. Offsets are a prefix sum over the per-range
+    counts (one row per range); ``row_number`` runs inside each range.
+    Meant for small key rows (the text stays behind).
+    """
+    spark = df.sparkSession
+    n = df.count()
+    parts = max(1, -(-n // rows_per_range))
+    (df.repartitionByRange(parts, *order_cols).withColumn("_r", F.spark_partition_id())
+     .write.mode("errorifexists").parquet(path))
+    keyed = spark.read.parquet(path)
+    counts = keyed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inr = Window.partitionBy("_r").orderBy(*order_cols)
+    return (keyed.join(offsets, "_r")
+            .withColumn(id_col, F.col("_off") + F.row_number().over(inr) - 1)
+            .drop("_r", "_off"))
+
+
 def with_section_ids(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
                      bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Dense ids in ``(doc_id, sec)`` order and the file each id goes to."""

@@ -39,21 +39,52 @@ def stage_sections(articles: DataFrame, path: str, min_len: int = corpus.MIN_SEC
 
 
 def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
-                 bucket_docs: int = corpus.BUCKET_DOCS) -> DataFrame:
-    """Survivors with final ids from a staged table (hash column present)."""
-    keys = corpus.dedup_keys_hashed(staged.select("doc_id", "sec", "h"), rows_per_file, bucket_docs)
-    keys = keys.where(~F.col("dup"))
-    return (staged.select("doc_id", "sec", "text", "first_sentence").join(keys, ["doc_id", "sec"])
+                 rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
+    """Survivors with final ids from a staged table (hash column present).
+
+    Only key rows ``(doc_id, sec, h)`` are shuffled or written until the
+    final join attaches the ids to the text (one text shuffle).
+    """
+    spark = staged.sparkSession
+    scratch = scratch or scratch_path(spark, "dedup-keys")
+    keys = staged.select("doc_id", "sec", "h")
+    ids1 = corpus.dense_index_ranges(keys, ["doc_id", "sec"], "id1", f"{scratch}/ids1", rows_per_range)
+    # first copy per text hash: partial min() on the map side, skew-proof
+    first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
+    ids2 = corpus.dense_index_ranges(first, ["id1"], "id", f"{scratch}/ids2", rows_per_range)
+    survivors = ids1.join(ids2.select("id1", "id"), "id1").select(
+        "doc_id", "sec", "id1", "id", corpus.idiv("id1", rows_per_file).cast("int").alias("file"))
+    return (staged.select("doc_id", "sec", "text", "first_sentence").join(survivors, ["doc_id", "sec"])
             .select("id", "text", "first_sentence", "file", "id1", "doc_id", "sec"))
 
 
+def stats_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
+                 rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
+    """Per-file and total ``(file, is_total, original, duplicated, final)``
+    from a staged table, on key rows only."""
+    spark = staged.sparkSession
+    scratch = scratch or scratch_path(spark, "dedup-stats")
+    ids1 = corpus.dense_index_ranges(staged.select("doc_id", "sec", "h"), ["doc_id", "sec"], "id1",
+                                     f"{scratch}/ids1", rows_per_range)
+    file = corpus.idiv("id1", rows_per_file).cast("int").alias("file")
+    orig = ids1.select(file)
+    surv = ids1.groupBy("h").agg(F.min("id1").alias("id1")).select(file)
+    per_file = (orig.groupBy("file").agg(F.count(F.lit(1)).alias("original"))
+                .join(surv.groupBy("file").agg(F.count(F.lit(1)).alias("final")), "file", "left")
+                .fillna(0, ["final"]))
+    agg = per_file.rollup("file").agg(F.sum("original").alias("original"), F.sum("final").alias("final"),
+                                      F.grouping_id().alias("_g"))
+    return agg.select("file", (F.col("_g") == 1).alias("is_total"), "original",
+                      (F.col("original") - F.col("final")).alias("duplicated"), "final")
+
+
 def build_corpus(articles: DataFrame, root: str | None = None, rows_per_file: int = corpus.ROWS_PER_FILE,
-                 mode: str = "overwrite", bucket_docs: int = corpus.BUCKET_DOCS) -> CorpusPaths:
+                 mode: str = "overwrite") -> CorpusPaths:
     spark: SparkSession = articles.sparkSession
     root = root or scratch_path(spark, "corpus")
     paths = CorpusPaths(f"{root}/staged", f"{root}/sections", f"{root}/metadata")
     staged = stage_sections(articles, paths.staged, mode=mode)
-    final = dedup_staged(staged, rows_per_file, bucket_docs)
+    final = dedup_staged(staged, rows_per_file, scratch=f"{root}/keys")
     writers.write_sections(final.select("id", "text", "first_sentence", "file", "id1", "doc_id", "sec"),
                            paths.sections, mode=mode, extra_columns=["id1", "doc_id", "sec"])
     sections = spark.read.parquet(paths.sections)

@@ -18,6 +18,7 @@ from ..operators import choices, corpus, encode, evaluate, knn, retrieve
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import readers, writers
+from . import corpus_build
 from .context import QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
 
 # Fixed test positions for the row-drop operator: the reference's eight
@@ -73,7 +74,7 @@ def q_dedup_exact(spark, d):
 
 
 def q_dedup_stats(spark, d):
-    return corpus.dedup_stats_keys(_i(spark, d).staged.select("doc_id", "sec", "h"), ROWS_PER_FILE)
+    return corpus_build.stats_staged(_i(spark, d).staged, ROWS_PER_FILE)
 
 
 def q_reindex_ids(spark, d):

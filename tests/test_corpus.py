@@ -78,3 +78,27 @@ def test_staged_build_writes_partitioned_tables(spark):
     assert sec.count() == 309 and meta.count() == 309
     assert sorted(r.file for r in sec.select("file").distinct().collect()) == [0, 1, 2, 3]
     assert sec.join(meta, ["id", "file"]).count() == 309
+
+
+def test_dense_index_ranges_clustered_keys(spark):
+    """Ids clustered far apart and a hot cluster: ranges stay balanced, ids exact."""
+    from passagekit.session import scratch_path
+    rows = [(i, 0) for i in range(50)] + [(10**15 + i, j) for i in range(30) for j in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, sec int")
+    out = corpus.dense_index_ranges(df, ["doc_id", "sec"], "id", scratch_path(spark, "t-rng"), rows_per_range=37)
+    got = sorted((r.doc_id, r.sec, r.id) for r in out.collect())
+    assert [g[2] for g in got] == list(range(len(rows)))
+    keyed = spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0])
+    sizes = [r[1] for r in keyed.groupBy("_r").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 3 * 37
+
+
+def test_staged_dedup_many_ranges_equals_single(spark):
+    from passagekit.session import scratch_path
+    arts = fx.articles(spark.read.parquet(f"{SF}/documents.parquet"))
+    staged = corpus_build.stage_sections(arts, scratch_path(spark, "t-staged"))
+    a = corpus_build.dedup_staged(staged, 50, rows_per_range=13).select("id", "doc_id", "sec", "file").collect()
+    b = corpus_build.dedup_staged(staged, 50).select("id", "doc_id", "sec", "file").collect()
+    assert sorted(a) == sorted(b) and len(a) == 309
+    st = {(r.file, r.is_total): r for r in corpus_build.stats_staged(staged, 250, rows_per_range=11).collect()}
+    assert (st[(None, True)].original, st[(None, True)].duplicated) == (339, 30)
