@@ -30,14 +30,23 @@ HEADLINE = [
 ]
 
 
+def warm_up(spark, cpus: int) -> None:
+    """Untimed: JVM JIT, Python worker start-up on every core, package shipping."""
+    from pyspark.sql import functions as F
+
+    from passagekit.operators import encode
+    spark.range(1000).selectExpr("sum(id)").collect()
+    df = spark.range(0, 64 * cpus, numPartitions=cpus).select(F.concat(F.lit("warm "), F.col("id").cast("string")).alias("text"))
+    encode.encode(df, encode.HashingEncoder(8)).write.format("noop").mode("overwrite").save()
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", app="passagekit-bench", shuffle_partitions=int(cpus) * 2,
                       extra={"spark.driver.memory": "16g"})
-    # JVM / Python worker warm-up on a trivial job, not timed
-    spark.range(1000).selectExpr("sum(id)").collect()
+    warm_up(spark, int(cpus))
     times = {}
     for n in names:
         t0 = time.time()

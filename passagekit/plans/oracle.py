@@ -243,6 +243,12 @@ FROM _sz"""),
     "sectionize": (["loaded"], 'SELECT id AS document_id, text, 0::INTEGER AS start, length(text)::INTEGER AS "end" FROM loaded'),
     "rerank_lines": (["ranked"], "SELECT prompt_id, rank, document_id, pos, dist FROM ranked"),
     "context_dataset": (["context_dataset"], "SELECT prompt_id, prompt, context, A, B, C, D, E, answer FROM context_dataset"),
+    "context_csv": (["context_dataset"], """SELECT (row_number() OVER (ORDER BY prompt_id) - 1)::BIGINT AS prompt_id,
+  prompt, context, A, B, C, D, E, answer FROM context_dataset"""),
+    "pred_csv": (["_pred"], """SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS prompt_id,
+  substring('ABCDE', (am + 1)::INTEGER, 1) AS pred, substring('ABCDE', (label + 1)::INTEGER, 1) AS label FROM _score"""),
+    "dev_prompt": (["questions"], """SELECT prompt_id, prompt, answer FROM questions
+WHERE prompt = (SELECT min(prompt) FROM questions) ORDER BY prompt_id LIMIT 1"""),
     "questions_load": (["questions"], "SELECT prompt_id, prompt, A, B, C, D, E, answer FROM questions"),
     "fill_options": (["questions"], """SELECT prompt_id, coalesce(A, 'None') AS A, coalesce(B, 'None') AS B,
   coalesce(C, 'None') AS C, coalesce(D, 'None') AS D, coalesce(E, 'None') AS E FROM questions"""),

@@ -181,15 +181,21 @@ def q_context_dataset(spark, d):
     return _i(spark, d).contexts
 
 
+def q_context_csv(spark, d):
+    """Contextual questions through the CSV sink and back (quotes, commas,
+    newlines and ``<SS>`` inside fields)."""
+    path = scratch_path(spark, "contexts_csv")
+    writers.write_context_csv(_i(spark, d).contexts.orderBy("prompt_id"), path, mode="errorifexists")
+    return readers.read_questions_csv(spark, path, columns=writers.CONTEXT_COLUMNS)
+
+
 # ---- E. multiple choice ------------------------------------------------------------------
 
 def q_questions_load(spark, d):
     q = _i(spark, d).questions
     path = scratch_path(spark, "questions_csv")
     out = q.withColumn("id", F.col("prompt_id")).orderBy("prompt_id")
-    (out.select("id", "prompt", "A", "B", "C", "D", "E", "answer").write.mode("errorifexists")
-     .option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    writers.write_csv(out, path, ["id", "prompt", "A", "B", "C", "D", "E", "answer"], mode="errorifexists")
     return readers.read_questions_csv(spark, path)
 
 
@@ -238,6 +244,22 @@ def q_pred_letters(spark, d):
     return evaluate.pred_letters(_i(spark, d).predictions)
 
 
+def q_pred_csv(spark, d):
+    """Prediction letters through the CSV sink (``pred,label``) and back;
+    ``prompt_id`` is the row position, rows written in id order."""
+    path = scratch_path(spark, "preds_csv")
+    writers.write_predictions_csv(evaluate.pred_letters(_i(spark, d).predictions).orderBy("id"), path,
+                                  mode="errorifexists")
+    return readers.read_questions_csv(spark, path, columns=["pred", "label"])
+
+
+def q_dev_prompt(spark, d):
+    """Equality filter on one prompt, first match only (the quick-run slice)."""
+    q = _i(spark, d).questions
+    target = q.select(F.min("prompt")).scalar()
+    return q.where(F.col("prompt") == target).orderBy("prompt_id").limit(1).select("prompt_id", "prompt", "answer")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_api": q_extract_api,
     "raw_scan": q_raw_scan,
@@ -268,6 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sectionize": q_sectionize,
     "rerank_lines": q_rerank_lines,
     "context_dataset": q_context_dataset,
+    "context_csv": q_context_csv,
     "questions_load": q_questions_load,
     "fill_options": q_fill_options,
     "drop_rows": q_drop_rows,
@@ -279,4 +302,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_lengths": q_token_lengths,
     "eval_map3": q_eval_map3,
     "pred_letters": q_pred_letters,
+    "pred_csv": q_pred_csv,
+    "dev_prompt": q_dev_prompt,
 }

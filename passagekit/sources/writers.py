@@ -34,8 +34,11 @@ def write_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
+    """Header, ``"`` quoting/escaping, values written verbatim (Spark trims
+    outer white space by default when writing CSV; we keep it)."""
     (df.select(*columns).write.mode(mode).option("header", True).option("escape", '"')
-     .option("quoteAll", False).csv(path))
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_context_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -62,13 +62,14 @@ def test_save_modes(spark):
 
 
 def test_context_csv_sink(spark):
-    df = spark.createDataFrame([("p,1", 'c "q"\nx<SS>', "a", "b", None, "d", "e", "A")],
+    df = spark.createDataFrame([("p,1", 'c "q"\nx<SS>', " a ", "b", None, "d", "e", "A")],
                                "prompt string, context string, A string, B string, C string, D string, "
                                "E string, answer string")
     path = scratch_path(spark, "t-ctx")
     writers.write_context_csv(df, path)
     back = readers.read_questions_csv(spark, path, columns=writers.CONTEXT_COLUMNS).first()
     assert back.prompt == "p,1" and back.context == 'c "q"\nx<SS>' and back.C is None
+    assert back.A == " a "
 
 
 def test_output_name():
