@@ -155,6 +155,13 @@ def passage_text(model: str | None = None, add_tags: bool = False, add_first_sen
     return out
 
 
+def section_headers(text: Column, sec: Column) -> Column:
+    """Heading of a section: the first line of every section after the lead
+    (a section always starts with its normalized heading); ``""`` for the
+    lead section."""
+    return F.when(sec > 0, F.substring_index(text, "\n", 1)).otherwise(F.lit(""))
+
+
 def letter_to_index(c: Column) -> Column:
     return F.instr(F.lit(LETTERS), c) - 1
 

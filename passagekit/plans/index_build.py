@@ -7,7 +7,9 @@ the optional repartition by shard for the partitioned write.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from ..functions.text import passage_text
+from pyspark.sql import functions as F
+
+from ..functions.text import passage_text, section_headers
 from ..operators import encode as enc
 from ..operators import knn
 from ..session import spread
@@ -18,6 +20,8 @@ def section_vectors(sections: DataFrame, encoder, add_tags: bool = False,
                     add_first_sentence: bool = False) -> DataFrame:
     """``(id, embedding)`` for every section (prefix and optional decorations
     applied to the encoded text only)."""
+    if add_tags and "headers" not in sections.columns:
+        sections = sections.withColumn("headers", section_headers(F.col("text"), F.col("sec")))
     t = passage_text(add_tags=add_tags, add_first_sentence=add_first_sentence, prefix=encoder.passage_prefix)
     src = spread(sections.select("id", t.alias("_pt")))
     return enc.encode(src, encoder, "_pt", "embedding").select("id", "embedding")

@@ -228,7 +228,8 @@ FROM (SELECT (i.id1 // 250)::INTEGER AS file, CASE WHEN c.id IS NULL THEN 1 ELSE
     lambda a, b: a + b)))::FLOAT AS x FROM embeddings"""),
     "query_text": (["questions"], """SELECT prompt_id, 'query: ' || concat_ws(' ', coalesce(prompt, 'nan'), coalesce(C, 'nan'),
   coalesce(A, 'nan'), coalesce(B, 'nan'), coalesce(D, 'nan'), coalesce(E, 'nan')) AS query_text FROM questions"""),
-    "passage_text": (["corpus"], "SELECT id, first_sentence || ' ' || 'passage: ' || text AS passage FROM corpus"),
+    "passage_text": (["corpus"], """SELECT id, first_sentence || ' ' || (CASE WHEN sec > 0 THEN split_part(text, chr(10), 1)
+  ELSE '' END) || ' ' || 'passage: ' || text AS passage FROM corpus"""),
     "knn_flat": ([], _KNN),
     "knn_sharded": ([], _KNN),
     "vector_shards": ([], "WITH " + _SHARDS + "\nSELECT id, shard, local_id FROM _vsl"),

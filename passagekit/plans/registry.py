@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import passage_text, query_text
+from ..functions.text import passage_text, query_text, section_headers
 from ..functions.vector import l2_normalize
 from ..operators import choices, corpus, encode, evaluate, knn, retrieve
 from ..session import scratch_path
@@ -125,7 +125,8 @@ def q_query_text(spark, d):
 
 
 def q_passage_text(spark, d):
-    return _i(spark, d).corpus.select("id", passage_text(QUERY_MODEL, add_first_sentence=True).alias("passage"))
+    c = _i(spark, d).corpus.withColumn("headers", section_headers(F.col("text"), F.col("sec")))
+    return c.select("id", passage_text(QUERY_MODEL, add_tags=True, add_first_sentence=True).alias("passage"))
 
 
 def q_knn_flat(spark, d):
