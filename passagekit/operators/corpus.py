@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.arith import idiv
 from ..functions.text import (
     DISAMBIGUATION_PHRASE, FIRST_SENTENCE_CHARS, MIN_SECTION_LEN,
-    article_section_texts, line_class, py_strip,
+    article_section_texts, is_references_line, line_class, py_strip,
 )
 
 ROWS_PER_FILE = 250_000     # sections per output file
@@ -56,7 +56,7 @@ def section_lines(articles: DataFrame, id_col: str = "doc_id", text_col: str = "
     first references line, which add nothing.
     """
     lines = F.split(F.col(text_col), "\n", -1)
-    refs = F.transform(lines, lambda l: py_strip(l).rlike(r"(?U)==\s*[rR]eferences\s*=="))
+    refs = F.transform(lines, lambda l: is_references_line(py_strip(l)))
     first_ref = F.array_position(refs, True) - 1  # -1 if none
     df = articles.select(F.col(id_col).alias("doc_id"), first_ref.alias("_fr"),
                          F.posexplode(lines).alias("pos", "line"))
@@ -121,7 +121,7 @@ def dense_index(df: DataFrame, order_cols: list[str], bucket: Column, id_col: st
 
 
 def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path: str,
-                       rows_per_range: int = 4_000_000) -> DataFrame:
+                       rows_per_range: int = 4_000_000, n_rows: int | None = None) -> DataFrame:
     """Dense 0-based positions in ``order_cols`` order, balanced by data.
 
     Rows are range-partitioned on the order (bounds from Spark's sample, so
@@ -130,10 +130,11 @@ def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path:
     the assignment, so recomputation after an executor loss cannot move a
     row to another range. Offsets are a prefix sum over the per-range
     counts (one row per range); ``row_number`` runs inside each range.
-    Meant for small key rows (the text stays behind).
+    Meant for small key rows (the text stays behind). ``n_rows`` (an upper
+    bound of the row count) only sizes the ranges; it saves a counting job.
     """
     spark = df.sparkSession
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     parts = max(1, -(-n // rows_per_range))
     (df.repartitionByRange(parts, *order_cols).withColumn("_r", F.spark_partition_id())
      .write.mode("errorifexists").parquet(path))

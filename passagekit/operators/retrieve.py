@@ -45,9 +45,9 @@ def load_articles(selected: DataFrame, sections: DataFrame,
     are unique, so the result is already distinct (no extra shuffle).
     """
     if "file" in sections.columns:
-        files = selected.select("file").distinct()
-        if files.count() <= max_files:
-            sections = sections.where(F.col("file").isin([r[0] for r in files.collect()]))
+        files = [r[0] for r in selected.select("file").distinct().limit(max_files + 1).collect()]
+        if len(files) <= max_files:
+            sections = sections.where(F.col("file").isin(files))
     keys = broadcast_if_small(selected.select("file", "id").distinct(), broadcast_rows)
     return sections.join(keys, ["file", "id"], "left_semi")
 

@@ -48,10 +48,11 @@ def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
     spark = staged.sparkSession
     scratch = scratch or scratch_path(spark, "dedup-keys")
     keys = staged.select("doc_id", "sec", "h")
-    ids1 = corpus.dense_index_ranges(keys, ["doc_id", "sec"], "id1", f"{scratch}/ids1", rows_per_range)
+    n = keys.count()  # Parquet footers only
+    ids1 = corpus.dense_index_ranges(keys, ["doc_id", "sec"], "id1", f"{scratch}/ids1", rows_per_range, n)
     # first copy per text hash: partial min() on the map side, skew-proof
     first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
-    ids2 = corpus.dense_index_ranges(first, ["id1"], "id", f"{scratch}/ids2", rows_per_range)
+    ids2 = corpus.dense_index_ranges(first, ["id1"], "id", f"{scratch}/ids2", rows_per_range, n)
     survivors = ids1.join(ids2.select("id1", "id"), "id1").select(
         "doc_id", "sec", "id1", "id", corpus.idiv("id1", rows_per_file).cast("int").alias("file"))
     return (staged.select("doc_id", "sec", "text", "first_sentence").join(survivors, ["doc_id", "sec"])

@@ -111,4 +111,4 @@ def broadcast_if_small(df, max_rows: int):
     rows, else ``df`` unchanged (the planner/AQE then picks a shuffle join).
     The count runs a job: call it on materialised or cheap inputs."""
     from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
