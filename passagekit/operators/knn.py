@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import idiv
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 
 MAX_BROADCAST_BYTES = 64 << 20     # query matrix kept on every executor
 QUERY_SUBBLOCK = 1024               # queries scored together in one product
@@ -142,6 +142,30 @@ def _broadcast_kernel(bc, k: int, vid: str, vcol: str, shard_col: str | None):
     return run
 
 
+def _vector_broadcast_kernel(bc, k: int, qid: str, qcol: str, with_shard: bool):
+    """Batches of queries against a broadcast vector matrix (final top-k per
+    query per shard: every batch holds whole queries)."""
+    def run(batches):
+        vids, V, shards = bc.value
+        groups = [(None, slice(None))] if not with_shard else [(int(x), shards == x) for x in np.unique(shards)]
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            qids = b.column(qid).to_numpy(zero_copy_only=False).astype(np.int64)
+            Q = _matrix(b.column(qcol))
+            for key, sel in groups:
+                acc = _Accumulator(k)
+                _score_blocks(Q, V[sel], vids[sel], k, acc)
+                qi, ids, dist = acc.result()
+                cols = {"prompt_id": pa.array(qids[qi], pa.int64())}
+                if with_shard:
+                    cols["shard"] = pa.array(np.full(len(qi), key, np.int32))
+                cols["id"] = pa.array(ids, pa.int64())
+                cols["dist"] = pa.array(dist, pa.float64())
+                yield pa.RecordBatch.from_pydict(cols)
+    return run
+
+
 def _tile_kernel(k: int, qid: str, qcol: str, vid: str, vcol: str, shard_col: str | None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         qids = left.column(qid).to_numpy().astype(np.int64)
@@ -180,10 +204,23 @@ def _rank(cands: DataFrame, k: int, by: list[str]) -> DataFrame:
 def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid: str = "prompt_id",
                      qcol: str = "embedding", vid: str = "id", vcol: str = "embedding",
                      shard_col: str | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                     vectors_per_tile: int = VECTORS_PER_TILE, force_tiled: bool = False) -> DataFrame:
-    """Per task (and per shard if given) top-k candidates; not yet merged."""
+                     vectors_per_tile: int = VECTORS_PER_TILE, strategy: str = "auto",
+                     force_tiled: bool = False, scratch: str | None = None) -> DataFrame:
+    """Per task/batch (and per shard if given) top-k candidates, not merged.
+
+    ``strategy``: ``auto`` picks, by measured size, ``broadcast`` (query
+    matrix under ``max_broadcast_bytes``), ``vectors`` (vector matrix under
+    the bound: broadcast it and score batches of queries) or ``blocked``
+    (query blocks of at most the bound, one after the other, each broadcast
+    and scanned against the vectors; candidates appended to the shared
+    folder, so the driver holds one block at a time and the vectors are
+    never shuffled). ``tiled`` replicates both sides into (query block,
+    vector block) tiles through a shuffle instead.
+    """
     spark = queries.sparkSession
     ship_package(spark)
+    if force_tiled:
+        strategy = "tiled"
     schema = _OUT_SCHEMA_SHARD if shard_col else _OUT_SCHEMA
     vcols = [vid, vcol] + ([shard_col] if shard_col else [])
     stats = queries.select(F.count(F.lit(1)).alias("n"), F.max(F.size(qcol)).alias("d")).first()
@@ -191,13 +228,46 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
     if nq == 0:
         return spark.createDataFrame([], schema)
     qbytes = nq * max(dim, 1) * 8
-    if qbytes <= max_broadcast_bytes and not force_tiled:
+    if strategy == "auto":
+        if qbytes <= max_broadcast_bytes:
+            strategy = "broadcast"
+        elif vectors.count() * max(dim, 1) * 8 <= max_broadcast_bytes:
+            strategy = "vectors"
+        else:
+            strategy = "blocked"
+
+    if strategy == "broadcast":
+        if qbytes > max_broadcast_bytes:
+            raise ValueError("query matrix over the broadcast bound")
         # size checked above: at most max_broadcast_bytes reach the driver
-        qt = queries.select(qid, qcol).toArrow()
-        qids = qt.column(qid).to_numpy().astype(np.int64)
-        Q = _matrix(qt.column(qcol))
-        bc = spark.sparkContext.broadcast((qids, Q))
-        return vectors.select(*vcols).mapInArrow(_broadcast_kernel(bc, k, vid, vcol, shard_col), schema)
+        return _scan_with_queries(queries, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema)
+
+    if strategy == "vectors":
+        nv = vectors.count()
+        if nv * max(dim, 1) * 8 > max_broadcast_bytes:
+            raise ValueError("vector matrix over the broadcast bound")
+        vt = vectors.select(*vcols).toArrow()
+        vids = vt.column(vid).to_numpy().astype(np.int64)
+        V = _matrix(vt.column(vcol))
+        shards = vt.column(shard_col).to_numpy() if shard_col else None
+        bc = spark.sparkContext.broadcast((vids, V, shards))
+        return queries.select(qid, qcol).mapInArrow(
+            _vector_broadcast_kernel(bc, k, qid, qcol, shard_col is not None), schema)
+
+    if strategy == "blocked":
+        root = scratch or scratch_path(spark, "knn-blocked")
+        queries.select(qid, qcol).write.mode("errorifexists").parquet(f"{root}/queries")
+        stored = spark.read.parquet(f"{root}/queries")
+        nqb = max(1, math.ceil(qbytes / max_broadcast_bytes))
+        block = F.pmod(F.xxhash64(qid), F.lit(nqb))
+        for b in range(nqb):
+            part = stored.where(block == b)
+            _scan_with_queries(part, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema) \
+                .write.mode("append").parquet(f"{root}/candidates")
+        return spark.read.parquet(f"{root}/candidates")
+
+    if strategy != "tiled":
+        raise ValueError(f"unknown strategy {strategy}")
     nqb = max(1, math.ceil(qbytes / max_broadcast_bytes))
     nv = vectors.count()
     nvb = max(1, math.ceil(nv / vectors_per_tile))
@@ -211,6 +281,18 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
             .applyInArrow(_tile_kernel(k, qid, qcol, vid, vcol, shard_col), schema))
 
 
+def _scan_with_queries(queries, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema):
+    """Collect (bounded) queries, broadcast them, score every vector batch."""
+    spark = queries.sparkSession
+    qt = queries.select(qid, qcol).toArrow()
+    if qt.num_rows == 0:
+        return spark.createDataFrame([], schema)
+    qids = qt.column(qid).to_numpy().astype(np.int64)
+    Q = _matrix(qt.column(qcol))
+    bc = spark.sparkContext.broadcast((qids, Q))
+    return vectors.select(*vcols).mapInArrow(_broadcast_kernel(bc, k, vid, vcol, shard_col), schema)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, **kw) -> DataFrame:
     """Flat exact top-k: ``(prompt_id, rank, id, dist)``."""
     cands = local_candidates(queries, vectors, k, **kw)

@@ -44,6 +44,18 @@ def test_paths_equal_brute_force(spark, data, k):
     exp = brute(Q, qids, V.astype(np.float32), vids, k)
     assert rows(knn.knn(q, v, k)) == exp
     assert rows(knn.knn(q, v, k, force_tiled=True, max_broadcast_bytes=256, vectors_per_tile=37)) == exp
+    assert rows(knn.knn(q, v, k, strategy="blocked", max_broadcast_bytes=256)) == exp
+    assert rows(knn.knn(q, v, k, strategy="vectors")) == exp
+
+
+def test_auto_strategy_choices(spark, data):
+    Q, qids, V, vids = data
+    q, v = frames(spark, Q, qids, V, vids)
+    exp = rows(knn.knn(q, v, 7))
+    # queries over the bound, vectors under it -> vector broadcast
+    assert rows(knn.knn(q, v.limit(300), 7, max_broadcast_bytes=300 * 16 * 8)) == exp
+    # both over the bound -> blocked
+    assert rows(knn.knn(q, v, 7, max_broadcast_bytes=512)) == exp
 
 
 @pytest.mark.parametrize("shards", [1, 3, 16])
@@ -53,6 +65,8 @@ def test_sharded_equals_flat(spark, data, shards):
     flat = rows(knn.knn(q, v, 20))
     sv = knn.shard_vectors(v, shards)
     assert rows(knn.knn_sharded(q, sv, 20)) == flat
+    assert rows(knn.knn_sharded(q, sv, 20, strategy="vectors")) == flat
+    assert rows(knn.knn_sharded(q, sv, 20, strategy="blocked", max_broadcast_bytes=512)) == flat
 
 
 def test_ties_capped_per_task(spark, data):
