@@ -30,7 +30,7 @@ def read_questions_csv(spark: SparkSession, path: str, kaggle: bool = False,
            .option("escape", '"').option("inferSchema", False).csv(path))
     cols = [c for c in raw.columns if c != "id"]
     df = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in cols],
-                    F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row"))
+                    F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
     # multi-line CSV files are read whole by one task, so _row is increasing
     # within a file; files are numbered by name.
     df = dense_index(df, ["_file", "_row"], F.col("_file"), "prompt_id").drop("_file", "_row")
