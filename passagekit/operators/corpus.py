@@ -136,6 +136,9 @@ def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path:
     spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
     parts = max(1, -(-n // rows_per_range))
+    if parts == 1:
+        # one range: a single bounded task numbers all rows, nothing to fix
+        return df.withColumn(id_col, F.row_number().over(Window.orderBy(*order_cols)) - F.lit(1).cast("long"))
     (df.repartitionByRange(parts, *order_cols).withColumn("_r", F.spark_partition_id())
      .write.mode("errorifexists").parquet(path))
     keyed = spark.read.parquet(path)
