@@ -4,21 +4,24 @@ Result contract for every path: ``(prompt_id, rank, id, dist)`` where
 ``dist`` is the squared L2 distance rounded to 6 decimals and ranks order by
 ``(dist, id)`` -- ties always go to the lower id.
 
-Two physical paths, one kernel:
-
-* **broadcast** (query matrix below ``max_broadcast_bytes``): the vectors
-  table is never shuffled. ``mapInArrow`` scores each Arrow batch of vectors
-  against all queries with one matrix product and keeps at most k rows per
-  query per task; a ``row_number() <= k`` window (partial
-  ``WindowGroupLimit`` before its exchange) merges tasks.
-* **tiled** (any number of queries): queries are hashed into blocks small
-  enough to hold in memory, vectors into blocks of bounded rows; every
-  (query block, vector block) tile is scored by the same kernel through
-  ``cogroup().applyInArrow``, emitting k rows per query per tile.
-
-Neither path materialises all pairs: a tile or batch emits only its local
-top k (ties at the cut resolved by id, so hot groups of equal vectors
-cannot blow the output up).
+One block kernel (``topk_block``: a BLAS product, then an exact top-k cut
+with ties to the lower id), four ways to feed it, chosen by measured size:
+
+* **broadcast** -- query matrix under ``max_broadcast_bytes``: it is
+  broadcast, ``mapInArrow`` scores each Arrow batch of vectors and keeps at
+  most k rows per query per task; the vectors are never shuffled.
+* **vectors** -- many queries, small vector table: the vectors are
+  broadcast and batches of queries are scored.
+* **blocked** -- both large: queries are written once, then processed in
+  blocks of at most the bound, one job per block, candidates appended to the
+  shared folder (driver memory: one block; vectors read once per block).
+* **tiled** (opt-in) -- both sides hashed into blocks and every (query
+  block, vector block) tile scored through ``cogroup().applyInArrow``.
+
+Candidates from tasks/blocks/tiles are merged by ``row_number() <= k`` per
+query (partial ``WindowGroupLimit`` before its exchange). No path
+materialises all pairs: a batch or tile emits only its local top k, so hot
+groups of equal vectors cannot blow the output up.
 """
 
 from __future__ import annotations
@@ -108,7 +111,7 @@ class _Accumulator:
         return _select_topk(qi, ids, dist, self.k)
 
 
-def _score_blocks(Q, V, vids, k, acc, offset_fn=None):
+def _score_blocks(Q, V, vids, k, acc):
     for s in range(0, len(Q), QUERY_SUBBLOCK):
         qi, ids, dist = topk_block(Q[s:s + QUERY_SUBBLOCK], V, vids, k)
         acc.add(qi + s, ids, dist)
