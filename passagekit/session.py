@@ -66,28 +66,29 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``passagekit`` importable in Python workers (once per context).
+    """Make ``passagekit`` importable in local Python workers (once per context).
 
-    Zips the installed package next to the shared folder and registers it
-    with ``addPyFile``; Spark distributes it to every executor.
+    Only when the shared folder is a local path (local mode, tests): the
+    package is zipped there and registered with ``addPyFile``. On a cluster
+    (remote shared folder) the package is shipped at submit time
+    (``--py-files``) and nothing is written here.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
-    import shutil
-    import tempfile
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    _SHIPPED.add(key)
     base = shared_dir(spark)
     local = base[len("file:"):] if base.startswith("file:") else base
     if "://" in local or not local.startswith("/"):
-        local = tempfile.gettempdir()
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(local, "passagekit-dist", uuid.uuid4().hex[:12])
     os.makedirs(out, exist_ok=True)
     archive = shutil.make_archive(os.path.join(out, "passagekit"), "zip",
                                   root_dir=os.path.dirname(pkg_dir), base_dir="passagekit")
     sc.addPyFile(archive)
-    _SHIPPED.add(key)
 
 
 def spread(df, min_partitions: int | None = None):
