@@ -59,6 +59,18 @@ def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
             .select("id", "text", "first_sentence", "file", "id1", "doc_id", "sec"))
 
 
+def ids_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
+               rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
+    """Sections with their ids before dedup and the file each goes to
+    (numbered on key rows, then one join back to the text)."""
+    spark = staged.sparkSession
+    scratch = scratch or scratch_path(spark, "ids-keys")
+    ids1 = corpus.dense_index_ranges(staged.select("doc_id", "sec"), ["doc_id", "sec"], "id",
+                                     f"{scratch}/ids1", rows_per_range)
+    return (staged.select("doc_id", "sec", "text", "first_sentence").join(ids1, ["doc_id", "sec"])
+            .withColumn("file", corpus.idiv("id", rows_per_file).cast("int")))
+
+
 def stats_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
                  rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
     """Per-file and total ``(file, is_total, original, duplicated, final)``

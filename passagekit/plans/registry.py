@@ -65,7 +65,7 @@ def q_sections_filtered(spark, d):
 
 
 def q_sections_ids(spark, d):
-    return corpus.with_section_ids(_i(spark, d).kept, ROWS_PER_FILE).select(
+    return corpus_build.ids_staged(_i(spark, d).staged, ROWS_PER_FILE).select(
         "id", "doc_id", "sec", "text", "first_sentence", "file")
 
 
