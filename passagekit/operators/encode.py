@@ -19,7 +19,7 @@ from typing import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,13 +60,28 @@ class HashingEncoder:
     def features(self, text: Column) -> Column:
         return F.transform(tokens(text), lambda t: token_bucket(t, self.dim))
 
-    def encode_arrow(self, arr: pa.Array) -> pa.Array:
+    def _counts(self, arr: pa.Array) -> np.ndarray:
         n = len(arr)
         lens = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         vals = pc.list_flatten(arr).to_numpy(zero_copy_only=False).astype(np.int64)
         rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        counts = np.bincount(rows * self.dim + vals, minlength=n * self.dim).reshape(n, self.dim)
-        return _as_list_array(_unit_rows(counts))
+        return np.bincount(rows * self.dim + vals, minlength=n * self.dim).reshape(n, self.dim)
+
+    def encode_arrow(self, arr: pa.Array) -> pa.Array:
+        return _as_list_array(_unit_rows(self._counts(arr)))
+
+    def sparse_arrow(self, arr: pa.Array) -> pa.Array:
+        """Per row: non-zero ``bucket``s (ascending), their ``cnt`` and unit
+        ``weight`` (same float32 values as the dense vector)."""
+        counts = self._counts(arr)
+        w = _unit_rows(counts)
+        r, c = np.nonzero(counts)
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(r, minlength=len(counts)))].astype(np.int32))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))),
+             pa.ListArray.from_arrays(offsets, pa.array(counts[r, c].astype(np.int64))),
+             pa.ListArray.from_arrays(offsets, pa.array(w[r, c], type=pa.float32()))],
+            names=["bucket", "cnt", "weight"])
 
 
 @dataclass
@@ -119,11 +134,22 @@ def encode(df: DataFrame, encoder, text_col: str = "text", out_col: str = "embed
     return df.withColumn(out_col, encode_column(encoder, src))
 
 
+SPARSE_TYPE = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())),
+                            T.StructField("cnt", T.ArrayType(T.LongType())),
+                            T.StructField("weight", T.ArrayType(T.FloatType()))])
+
+
 def encode_sparse(df: DataFrame, encoder: HashingEncoder, id_col: str, text_col: str = "text") -> DataFrame:
-    """Long form of the hashing encoder: ``(id, bucket, cnt, weight)`` with
-    ``weight = cnt / ||cnt||`` as float. Fully native (explode + group-by)."""
-    toks = df.select(F.col(id_col).alias("id"), F.explode(encoder.features(F.col(text_col))).alias("bucket"))
-    cnt = toks.groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    return cnt.select("id", "bucket", "cnt",
-                      (F.col("cnt") / F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy("id"))))
-                      .cast("float").alias("weight"))
+    """Long form of the hashing encoder: ``(id, bucket, cnt, weight)``.
+
+    Map-only: the Arrow kernel returns each row's non-zero buckets, which are
+    exploded in place (no shuffle of token rows)."""
+    from pyspark.sql import SparkSession
+
+    from ..session import ship_package
+    ship_package(SparkSession.getActiveSession())
+    udf = F.arrow_udf(encoder.sparse_arrow, SPARSE_TYPE)
+    s = df.select(F.col(id_col).alias("id"), udf(encoder.features(F.col(text_col))).alias("s"))
+    z = s.select("id", F.explode(F.arrays_zip(F.col("s.bucket").alias("bucket"), F.col("s.cnt").alias("cnt"),
+                                              F.col("s.weight").alias("weight"))).alias("z"))
+    return z.select("id", "z.bucket", "z.cnt", "z.weight")
