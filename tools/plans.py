@@ -28,7 +28,7 @@ NOTES = {
     "load_articles": "Static partition filter on file + broadcast semi join on the hit keys.",
     "rerank_lines": "Hits x lines equi-join, distance in the JVM, partial + final WindowGroupLimit.",
     "context_dataset": "Context aggregation reuses the window's partitioning on prompt_id.",
-    "encode_hash": "Sparse encoder: explode + partial aggregate + window per section.",
+    "encode_hash": "Sparse encoder: the Arrow kernel returns each row's non-zero buckets, exploded in place (no exchange).",
 }
 
 
