@@ -233,6 +233,8 @@ FROM (SELECT (i.id1 // 250)::INTEGER AS file, CASE WHEN c.id IS NULL THEN 1 ELSE
     "knn_flat": ([], _KNN),
     "knn_sharded": ([], _KNN),
     "vector_shards": ([], "WITH " + _SHARDS + "\nSELECT id, shard, local_id FROM _vsl"),
+    "vectors_scan": ([], """SELECT vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos,
+  unnest(embedding) AS x FROM embeddings"""),
     "shard_offsets": ([], "WITH " + _SHARDS + """,
 _sz AS (SELECT shard, count(*)::BIGINT AS n FROM _vs GROUP BY shard)
 SELECT shard, n, coalesce(sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"

@@ -146,6 +146,16 @@ def q_vector_shards(spark, d):
     return readers.read_vectors(spark, path).select("id", "shard", "local_id")
 
 
+def q_vectors_scan(spark, d):
+    """Vector table written (partitioned by shard) and every vector recovered
+    from it, in long form ``(id, pos, x)``."""
+    e = _i(spark, d).embeddings
+    path = scratch_path(spark, "vectors")
+    writers.write_vectors(knn.shard_vectors(fx.vectors(e), SHARDS), path, mode="errorifexists")
+    v = readers.read_vectors(spark, path)
+    return v.select("id", F.posexplode("embedding").alias("pos", "x"))
+
+
 def q_shard_offsets(spark, d):
     e = _i(spark, d).embeddings
     return knn.shard_offsets(knn.shard_vectors(fx.vectors(e), SHARDS))
@@ -283,6 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_flat": q_knn_flat,
     "knn_sharded": q_knn_sharded,
     "vector_shards": q_vector_shards,
+    "vectors_scan": q_vectors_scan,
     "shard_offsets": q_shard_offsets,
     "select_articles": q_select_articles,
     "hit_files": q_hit_files,
