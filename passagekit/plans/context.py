@@ -6,7 +6,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import corpus, encode
 from ..session import load, scratch_path
@@ -113,6 +112,3 @@ class Inputs:
     def predictions(self) -> DataFrame:
         return fx.predictions(self.embeddings)
 
-
-def first_col(df: DataFrame, c: str):
-    return df.select(F.min(c)).scalar()
