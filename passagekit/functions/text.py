@@ -65,13 +65,8 @@ def _normalized_heading(t: Column) -> Column:
     return F.when((F.length(h) > 0) & ~h.endswith("."), F.concat(h, F.lit("."))).otherwise(h)
 
 
-def line_class(t: Column) -> Column:
-    """Classify one stripped line; returns a struct.
-
-    Fields: ``is_ref`` (stops the article), ``brk`` (heading that opens a new
-    section), ``pieces`` (0-2 strings appended to the current section, in
-    order).
-    """
+def _line_facts(t: Column) -> dict:
+    """The rule conditions for one stripped line, as Column expressions."""
     n = F.length(t)
     is_head = t.startswith("=") & t.endswith("=")
     ok_len = (n >= HEADING_MIN_LEN) & (n < HEADING_MAX_LEN)
@@ -83,17 +78,25 @@ def line_class(t: Column) -> Column:
            & ~squeezed.isin(BLOCKED_HEADINGS))
     raw_ok = ((n >= MIN_LINE_LEN) & ~(is_head & ~ok_len)
               & ~(t.startswith("{") & t.endswith("}")))
+    return {"is_ref": is_references_line(t), "brk": brk, "app": app, "raw_ok": raw_ok,
+            "norm": _normalized_heading(t)}
+
+
+def line_class(t: Column) -> Column:
+    """Classify one stripped line; returns a struct.
+
+    Fields: ``is_ref`` (stops the article), ``brk`` (heading that opens a new
+    section), ``app`` (heading appended to the section), ``pieces`` (0-2
+    strings appended to the current section, in order).
+    """
+    f = _line_facts(t)
     empty = F.array().cast("array<string>")
     pieces = F.concat(
-        F.when(brk | app, F.array(_normalized_heading(t))).otherwise(empty),
-        F.when(raw_ok, F.array(t)).otherwise(empty),
-    )
-    return F.struct(
-        is_references_line(t).alias("is_ref"),
-        brk.alias("brk"),
-        app.alias("app"),
-        pieces.alias("pieces"),
+        F.when(f["brk"] | f["app"], F.array(f["norm"])).otherwise(empty),
+        F.when(f["raw_ok"], F.array(t)).otherwise(empty),
     )
+    return F.struct(f["is_ref"].alias("is_ref"), f["brk"].alias("brk"), f["app"].alias("app"),
+                    pieces.alias("pieces"))
 
 
 def article_section_texts(text: Column) -> Column:
@@ -109,18 +112,18 @@ def article_section_texts(text: Column) -> Column:
     stripped = F.transform(F.split(text, "\n", -1), py_strip)
 
     def enc(t):
-        # each struct field is read once, so the optimizer inlines the fields
-        # and no per-line struct is built
-        c = line_class(t)
-        body = F.array_join(F.transform(c["pieces"], lambda p: F.concat(F.lit("\nx"), p)), "")
-        return (F.when(c["is_ref"], F.lit("\nR"))
-                .when(c["brk"], F.concat(F.lit("\nS"), body))
-                .otherwise(body))
+        # the line's contribution as a string, built without per-line arrays
+        f = _line_facts(t)
+        raw = F.when(f["raw_ok"], F.concat(F.lit("\nx"), t)).otherwise(F.lit(""))
+        return (F.when(f["is_ref"], F.lit("\nR"))
+                .when(f["brk"], F.concat(F.lit("\nS\nx"), f["norm"], raw))
+                .when(f["app"], F.concat(F.lit("\nx"), f["norm"], raw))
+                .otherwise(raw))
 
     flat = F.concat(F.lit("\nS"), F.array_join(F.transform(stripped, enc), ""))
     live = F.substring_index(flat, "\nR", 1)
-    # drop the empty piece before the first marker; ``parts`` is referenced
-    # once (a second reference would re-run the whole per-line transform)
+    # drop the empty piece before the first marker; the split result is
+    # referenced once (a second reference would re-run the per-line transform)
     secs = F.filter(F.split(live, "\nS", -1), lambda x, i: i > 0)
     return F.transform(secs, lambda s: F.substring(F.regexp_replace(s, "\nx", "\n"), 2, 2147483647))
 
