@@ -265,8 +265,11 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
         block = F.pmod(F.xxhash64(qid), F.lit(nqb))
         for b in range(nqb):
             part = stored.where(block == b)
-            _scan_with_queries(part, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema) \
-                .write.mode("append").parquet(f"{root}/candidates")
+            cands, bc = _scan_with_queries(part, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema,
+                                           with_broadcast=True)
+            cands.write.mode("append").parquet(f"{root}/candidates")
+            if bc is not None:
+                bc.unpersist()   # free the block on the executors before the next one
         return spark.read.parquet(f"{root}/candidates")
 
     if strategy != "tiled":
@@ -284,16 +287,19 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
             .applyInArrow(_tile_kernel(k, qid, qcol, vid, vcol, shard_col), schema))
 
 
-def _scan_with_queries(queries, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema):
+def _scan_with_queries(queries, vectors, k, qid, qcol, vid, vcol, shard_col, vcols, schema,
+                       with_broadcast: bool = False):
     """Collect (bounded) queries, broadcast them, score every vector batch."""
     spark = queries.sparkSession
     qt = queries.select(qid, qcol).toArrow()
     if qt.num_rows == 0:
-        return spark.createDataFrame([], schema)
+        empty = spark.createDataFrame([], schema)
+        return (empty, None) if with_broadcast else empty
     qids = qt.column(qid).to_numpy().astype(np.int64)
     Q = _matrix(qt.column(qcol))
     bc = spark.sparkContext.broadcast((qids, Q))
-    return vectors.select(*vcols).mapInArrow(_broadcast_kernel(bc, k, vid, vcol, shard_col), schema)
+    out = vectors.select(*vcols).mapInArrow(_broadcast_kernel(bc, k, vid, vcol, shard_col), schema)
+    return (out, bc) if with_broadcast else out
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, **kw) -> DataFrame:

@@ -78,7 +78,7 @@ def ship_package(spark: SparkSession) -> None:
     (``--py-files``) and nothing is written here.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     _SHIPPED.add(key)
