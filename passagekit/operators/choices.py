@@ -11,9 +11,15 @@ from .encode import tokens
 
 OPTIONS = list(LETTERS)
 # Input pair templates.
+#   first  (plain):        "[CLS] {context}"
+#   second (plain):        " #### {prompt} [SEP] {option} [SEP]"
+#   first  (with answers): "[CLS] {o1}(o) {o2}(o) {o3}(o) {o4} ### {context}"
+#   second (with answers): " ### {prompt} [SEP] {option} [SEP]"
 PAIR_FIRST = "[CLS] "
-PAIR_SECOND_PLAIN = " #### {prompt} [SEP] {option} [SEP]"
-PAIR_SECOND_ANSWERS = " ### {prompt} [SEP] {option} [SEP]"
+SECOND_PLAIN = " #### "
+SECOND_ANSWERS = " ### "
+SEP = " [SEP] "
+END = " [SEP]"
 OTHER_OPTIONS_JOIN = "(o) "
 OTHER_OPTIONS_END = " ### "
 MISSING_OPTION = "None"
@@ -65,10 +71,11 @@ def mc_pairs(df: DataFrame, with_answers: bool = False, shuffle_seed: int | None
             others = F.transform(F.array_sort(keyed), lambda s: s["v"])
         first = F.concat(F.lit(PAIR_FIRST), F.array_join(others, OTHER_OPTIONS_JOIN),
                          F.lit(OTHER_OPTIONS_END), F.col("context"))
-        second = F.concat(F.lit(" ### "), F.col("prompt"), F.lit(" [SEP] "), F.col("option"), F.lit(" [SEP]"))
+        lead = SECOND_ANSWERS
     else:
         first = F.concat(F.lit(PAIR_FIRST), F.col("context"))
-        second = F.concat(F.lit(" #### "), F.col("prompt"), F.lit(" [SEP] "), F.col("option"), F.lit(" [SEP]"))
+        lead = SECOND_PLAIN
+    second = F.concat(F.lit(lead), F.col("prompt"), F.lit(SEP), F.col("option"), F.lit(END))
     return base.select("prompt_id", "choice", first.alias("first"), second.alias("second"),
                        letter_to_index(F.col("answer")).alias("label"))
 
