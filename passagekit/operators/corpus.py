@@ -120,18 +120,24 @@ def dense_index(df: DataFrame, order_cols: list[str], bucket: Column, id_col: st
             .drop("_b", "_off"))
 
 
+MAX_BROADCAST_RANGES = 1_000_000   # offsets table rows broadcast at most (16 bytes a row)
+
+
 def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path: str,
                        rows_per_range: int = 4_000_000, n_rows: int | None = None) -> DataFrame:
     """Dense 0-based positions in ``order_cols`` order, balanced by data.
 
     Rows are range-partitioned on the order (bounds from Spark's sample, so
     every range holds about ``rows_per_range`` rows whatever the key
-    distribution) and written once with their range number: the write fixes
-    the assignment, so recomputation after an executor loss cannot move a
-    row to another range. Offsets are a prefix sum over the per-range
-    counts (one row per range); ``row_number`` runs inside each range.
-    Meant for small key rows (the text stays behind). ``n_rows`` (an upper
-    bound of the row count) only sizes the ranges; it saves a counting job.
+    distribution) and sorted inside each range; a row's range and position
+    are then read off ``monotonically_increasing_id`` (partition index in
+    the high bits, position in the low 33). Writing them once fixes the
+    assignment, so recomputation after an executor loss cannot move a row.
+    The id is the range's offset (prefix sum over one count row per range,
+    broadcast: its size is the known number of ranges) plus the position:
+    one exchange in all, no window over the rows. ``order_cols`` must be
+    unique. Meant for small key rows (the text stays behind); ``n_rows``
+    (an upper bound of the row count) sizes the ranges and saves a count.
     """
     spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
@@ -139,16 +145,21 @@ def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path:
     if parts == 1:
         # one range: a single bounded task numbers all rows, nothing to fix
         return df.withColumn(id_col, F.row_number().over(Window.orderBy(*order_cols)) - F.lit(1).cast("long"))
-    (df.repartitionByRange(parts, *order_cols).withColumn("_r", F.spark_partition_id())
-     .write.mode("errorifexists").parquet(path))
+    mid = F.monotonically_increasing_id()
+    (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+     .withColumn("_m", mid)
+     .withColumn("_r", F.shiftright(F.col("_m"), 33).cast("int"))
+     .withColumn("_p", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+     .drop("_m").write.mode("errorifexists").parquet(path))
     keyed = spark.read.parquet(path)
     counts = keyed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inr = Window.partitionBy("_r").orderBy(*order_cols)
+    if parts <= MAX_BROADCAST_RANGES:
+        offsets = F.broadcast(offsets)
     return (keyed.join(offsets, "_r")
-            .withColumn(id_col, F.col("_off") + F.row_number().over(inr) - 1)
-            .drop("_r", "_off"))
+            .withColumn(id_col, F.col("_off") + F.col("_p"))
+            .drop("_r", "_p", "_off"))
 
 
 def with_section_ids(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
