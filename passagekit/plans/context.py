@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import corpus, encode
 from ..session import load, scratch_path
 from ..sources import fixtures as fx
-from ..sources import writers
 from . import corpus_build, index_build, retrieval
 
 ROWS_PER_FILE = 250          # small stand-in for 250,000 rows per file
@@ -52,8 +51,8 @@ class Inputs:
         """Deduplicated sections ``(id, text, first_sentence, file, id1, doc_id,
         sec)``, written partitioned by ``file``."""
         path = scratch_path(self.spark, "sections")
-        final = corpus_build.dedup_staged(self.staged, ROWS_PER_FILE)
-        writers.write_sections(final, path, extra_columns=["id1", "doc_id", "sec"])
+        survivors = corpus_build.survivor_keys(self.staged, ROWS_PER_FILE)
+        corpus_build.write_sections_colocated(self.staged, survivors, path)
         return self.spark.read.parquet(path)
 
     @cached_property

@@ -38,13 +38,13 @@ def stage_sections(articles: DataFrame, path: str, min_len: int = corpus.MIN_SEC
     return articles.sparkSession.read.parquet(path)
 
 
-def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
-                 rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
-    """Survivors with final ids from a staged table (hash column present).
+MAX_FILE_BOUNDARIES = 1_000_000   # file boundaries collected to place rows (one per file)
 
-    Only key rows ``(doc_id, sec, h)`` are shuffled or written until the
-    final join attaches the ids to the text (one text shuffle).
-    """
+
+def survivor_keys(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
+                  rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
+    """``(doc_id, sec, id1, id, file)`` of the sections that survive dedup,
+    computed on key rows only."""
     spark = staged.sparkSession
     scratch = scratch or scratch_path(spark, "dedup-keys")
     keys = staged.select("doc_id", "sec", "h")
@@ -53,8 +53,62 @@ def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
     # first copy per text hash: partial min() on the map side, skew-proof
     first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
     ids2 = corpus.dense_index_ranges(first, ["id1"], "id", f"{scratch}/ids2", rows_per_range, n)
-    survivors = ids1.join(ids2.select("id1", "id"), "id1").select(
+    return ids1.join(ids2.select("id1", "id"), "id1").select(
         "doc_id", "sec", "id1", "id", corpus.idiv("id1", rows_per_file).cast("int").alias("file"))
+
+
+def write_sections_colocated(staged: DataFrame, survivors: DataFrame, path: str, mode: str = "overwrite",
+                             max_boundaries: int = MAX_FILE_BOUNDARIES) -> None:
+    """Attach final ids to the text and write it partitioned by ``file``
+    with one shuffle of the text.
+
+    Both sides are placed by ``_fb``, the doc-id range of each output file
+    (``Bucketizer`` over the first doc id of every file, one boundary per
+    file). The join on ``(_fb, doc_id, sec)`` then reuses that placement
+    (``requireAllClusterKeysForCoPartition=false`` during the write), so
+    every task holds contiguous id ranges and writes only a few ``file``
+    directories: no second shuffle by ``file``. ``_fb`` steers placement
+    only; both sides compute it with the same function, so matching never
+    depends on it. Too many files for the boundary list: join, then
+    repartition by ``file``.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    spark = staged.sparkSession
+    cols = ["id", "text", "first_sentence", "file", "id1", "doc_id", "sec"]
+    text = staged.select("doc_id", "sec", "text", "first_sentence")
+    firsts = survivors.groupBy("file").agg(F.min("doc_id").alias("d")).orderBy("file")
+    bounds = [r["d"] for r in firsts.limit(max_boundaries + 1).collect()]
+    if len(bounds) > max_boundaries:
+        writers.write_sections(text.join(survivors, ["doc_id", "sec"]).select(*cols), path, mode=mode,
+                               extra_columns=["id1", "doc_id", "sec"])
+        return
+    inner = sorted({float(d) for d in bounds[1:]})
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(df: DataFrame) -> DataFrame:
+        if not inner:
+            df = df.withColumn("_fb", F.lit(0))
+        else:
+            b = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol="_d", outputCol="_fb")
+            df = b.transform(df.withColumn("_d", F.col("doc_id").cast("double"))).drop("_d")
+        return df.withColumn("_fb", F.col("_fb").cast("int")).repartition(nparts, "_fb")
+
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        joined = place(text).join(place(survivors), ["_fb", "doc_id", "sec"]).select(*cols)
+        (joined.sortWithinPartitions("file", "id").write.mode(mode).partitionBy("file").parquet(path))
+    finally:
+        spark.conf.set(key, old)
+
+
+def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
+                 rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
+    """Survivors with final ids from a staged table, lazily joined back to
+    the text (see :func:`write_sections_colocated` for the written form)."""
+    survivors = survivor_keys(staged, rows_per_file, rows_per_range, scratch)
     return (staged.select("doc_id", "sec", "text", "first_sentence").join(survivors, ["doc_id", "sec"])
             .select("id", "text", "first_sentence", "file", "id1", "doc_id", "sec"))
 
@@ -97,9 +151,8 @@ def build_corpus(articles: DataFrame, root: str | None = None, rows_per_file: in
     root = root or scratch_path(spark, "corpus")
     paths = CorpusPaths(f"{root}/staged", f"{root}/sections", f"{root}/metadata")
     staged = stage_sections(articles, paths.staged, mode=mode)
-    final = dedup_staged(staged, rows_per_file, scratch=f"{root}/keys")
-    writers.write_sections(final.select("id", "text", "first_sentence", "file", "id1", "doc_id", "sec"),
-                           paths.sections, mode=mode, extra_columns=["id1", "doc_id", "sec"])
+    survivors = survivor_keys(staged, rows_per_file, scratch=f"{root}/keys")
+    write_sections_colocated(staged, survivors, paths.sections, mode=mode)
     sections = spark.read.parquet(paths.sections)
     writers.write_metadata(corpus.metadata(sections), paths.metadata, mode=mode)
     return paths

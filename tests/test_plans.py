@@ -45,3 +45,31 @@ def test_retrieval_with_two_encoders(spark):
     retrieval.write_contexts(r, out)
     retrieval.write_contexts(r, out)          # "ignore": a finished output is kept
     assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out).count() == 40
+
+
+def test_colocated_write_touches_few_files_per_task(spark):
+    import glob
+    import os
+    arts = fx.articles(spark.read.parquet(f"{SF}/documents.parquet"))
+    staged = corpus_build.stage_sections(arts, scratch_path(spark, "t-st"))
+    surv = corpus_build.survivor_keys(staged, rows_per_file=40)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        path = scratch_path(spark, "t-colo")
+        corpus_build.write_sections_colocated(staged, surv, path)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    out = spark.read.parquet(path)
+    assert sorted(r.id for r in out.collect()) == list(range(309))
+    assert out.where("file != cast(id1 div 40 as int)").count() == 0
+    local = path[len("file:"):] if path.startswith("file:") else path
+    parts = [len(glob.glob(os.path.join(d, "*.parquet"))) for d in glob.glob(os.path.join(local, "file=*"))]
+    assert len(parts) == 9 and max(parts) <= 3     # contiguous placement: 16 partitions, few writers per file
