@@ -39,12 +39,14 @@ def stage_sections(articles: DataFrame, path: str, min_len: int = corpus.MIN_SEC
 
 
 MAX_FILE_BOUNDARIES = 1_000_000   # file boundaries collected to place rows (one per file)
+BROADCAST_SURVIVOR_ROWS = 2_000_000   # survivor keys broadcast at most (~50 MB)
 
 
 def survivor_keys(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
                   rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
     """``(doc_id, sec, id1, id, file)`` of the sections that survive dedup,
-    computed on key rows only."""
+    computed on key rows only and written once (small; later steps read it
+    twice and must not recompute the key pipeline)."""
     spark = staged.sparkSession
     scratch = scratch or scratch_path(spark, "dedup-keys")
     keys = staged.select("doc_id", "sec", "h")
@@ -53,15 +55,22 @@ def survivor_keys(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
     # first copy per text hash: partial min() on the map side, skew-proof
     first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
     ids2 = corpus.dense_index_ranges(first, ["id1"], "id", f"{scratch}/ids2", rows_per_range, n)
-    return ids1.join(ids2.select("id1", "id"), "id1").select(
-        "doc_id", "sec", "id1", "id", corpus.idiv("id1", rows_per_file).cast("int").alias("file"))
+    (ids1.join(ids2.select("id1", "id"), "id1")
+     .select("doc_id", "sec", "id1", "id", corpus.idiv("id1", rows_per_file).cast("int").alias("file"))
+     .write.mode("errorifexists").parquet(f"{scratch}/survivors"))
+    return spark.read.parquet(f"{scratch}/survivors")
 
 
 def write_sections_colocated(staged: DataFrame, survivors: DataFrame, path: str, mode: str = "overwrite",
-                             max_boundaries: int = MAX_FILE_BOUNDARIES) -> None:
+                             max_boundaries: int = MAX_FILE_BOUNDARIES,
+                             broadcast_rows: int = BROADCAST_SURVIVOR_ROWS) -> None:
     """Attach final ids to the text and write it partitioned by ``file``
     with one shuffle of the text.
 
+    Survivor keys under ``broadcast_rows`` (a count of the written key table
+    checks it): broadcast join, then the text's one shuffle lays out the
+    files. Above it:
+
     Both sides are placed by ``_fb``, the doc-id range of each output file
     (``Bucketizer`` over the first doc id of every file, one boundary per
     file). The join on ``(_fb, doc_id, sec)`` then reuses that placement
@@ -77,6 +86,10 @@ def write_sections_colocated(staged: DataFrame, survivors: DataFrame, path: str,
     spark = staged.sparkSession
     cols = ["id", "text", "first_sentence", "file", "id1", "doc_id", "sec"]
     text = staged.select("doc_id", "sec", "text", "first_sentence")
+    if survivors.count() <= broadcast_rows:
+        writers.write_sections(text.join(F.broadcast(survivors), ["doc_id", "sec"]).select(*cols), path,
+                               mode=mode, extra_columns=["id1", "doc_id", "sec"])
+        return
     firsts = survivors.groupBy("file").agg(F.min("doc_id").alias("d")).orderBy("file")
     bounds = [r["d"] for r in firsts.limit(max_boundaries + 1).collect()]
     if len(bounds) > max_boundaries:

@@ -60,7 +60,7 @@ def test_colocated_write_touches_few_files_per_task(spark):
         spark.conf.set(k, v)
     try:
         path = scratch_path(spark, "t-colo")
-        corpus_build.write_sections_colocated(staged, surv, path)
+        corpus_build.write_sections_colocated(staged, surv, path, broadcast_rows=0)
     finally:
         for k, v in old.items():
             if v is None:
