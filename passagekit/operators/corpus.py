@@ -7,9 +7,13 @@ Plan shape at scale
 * Dedup and numbering run on small key rows ``(doc_id, sec, h)``; the hash
   group-by aggregates partially on the map side, so a group of copies holding
   a third of all rows costs one row per task before the exchange.
-* Dense ids use two levels: counts per key-range bucket (tiny table, prefix
-  sum), then ``row_number`` inside each bucket. No global single-task window.
-* The section text is shuffled once, to attach the final ids.
+* Dense ids (``dense_index_ranges``): key rows range-partitioned on the
+  order (balanced by Spark's sampled bounds), sorted per range, range and
+  position written once; id = range offset (prefix sum over one row per
+  range) + position. One exchange, no global single-task window.
+  ``dense_index`` is the lighter in-memory variant for dense key ranges.
+* The section text is shuffled once, to attach the final ids and lay out
+  the files (``plans.corpus_build.write_sections_colocated``).
 """
 
 from __future__ import annotations

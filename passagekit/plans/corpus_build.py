@@ -7,8 +7,10 @@ Two written stages, as the collection is built at scale:
    only ``(doc_id, sec, h)`` thanks to Parquet column pruning, and the
    written table cuts lineage, so losing executors later never re-parses
    the articles.
-2. ``sections``: survivors with final ids, partitioned by ``file``; plus the
-   ``(id, file)`` metadata table.
+2. ``sections``: survivors with final ids, partitioned by ``file``, written
+   with one shuffle of the text (:func:`write_sections_colocated`); plus
+   the ``(id, file)`` metadata table. The survivor key table in between is
+   written too (small), so no step recomputes the key pipeline.
 """
 
 from __future__ import annotations
