@@ -77,3 +77,15 @@ def test_output_name():
     assert n == "out/e5-base-v2_v14_0_0__train_e5-base-v2_20_v14.csv"
     n = writers.output_name("out", "idx/e5-base-v2_v14_0_0", "all_data.csv", "intfloat/e5-base-v2", 5, "v14", True)
     assert n == "out/e5-base-v2_v14_0_0_sharded__all_data_e5-base-v2_5_v14.csv"
+
+
+def test_questions_csv_positions_across_files(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 50).select(F.col("id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("prompt"),
+                                   *[F.lit(c.lower()).alias(c) for c in "ABCDE"], F.lit("A").alias("answer"))
+    path = scratch_path(spark, "t-csv-multi")
+    writers.write_csv(df.repartitionByRange(3, "id").sortWithinPartitions("id"), path,
+                      ["id", "prompt", "A", "B", "C", "D", "E", "answer"])
+    back = readers.read_questions_csv(spark, path).orderBy("prompt_id").collect()
+    assert [r.prompt for r in back] == [f"q{i}" for i in range(50)]
+    assert [r.prompt_id for r in back] == list(range(50))
