@@ -18,13 +18,13 @@ API_SCHEMA = T.StructType([T.StructField("query", T.StructType([
         T.StructField("extract", T.StringType())])))]))])
 
 
-def read_questions_csv(spark: SparkSession, path: str, kaggle: bool = False,
+def read_questions_csv(spark: SparkSession, path: str, unlabeled: bool = False,
                        columns: list[str] | None = None) -> DataFrame:
     """Question CSV (header, quoted multi-line fields) with ``prompt_id`` =
     row position (files in name order, rows in file order).
 
     Every column is read as string (no inference); the NA tokens become null;
-    an ``id`` column is dropped; ``kaggle`` data gets ``answer = 'A'``.
+    an ``id`` column is dropped; ``unlabeled`` data gets ``answer = 'A'``.
     """
     raw = (spark.read.option("header", True).option("multiLine", True)
            .option("escape", '"').option("inferSchema", False).csv(path))
@@ -34,7 +34,7 @@ def read_questions_csv(spark: SparkSession, path: str, kaggle: bool = False,
     # multi-line CSV files are read whole by one task, so _row is increasing
     # within a file; files are numbered by name.
     df = dense_index(df, ["_file", "_row"], F.col("_file"), "prompt_id").drop("_file", "_row")
-    if kaggle:
+    if unlabeled:
         df = df.withColumn("answer", F.lit("A"))
     keep = ["prompt_id"] + [c for c in (columns or QUESTION_COLUMNS) if c in df.columns]
     return df.select(*keep)

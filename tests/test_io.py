@@ -32,9 +32,9 @@ def test_questions_csv_roundtrip(spark):
     assert "id" not in readers.read_questions_csv(spark, _write(spark, ROWS)).columns
 
 
-def test_questions_csv_without_id_and_kaggle(spark):
+def test_questions_csv_without_id_unlabeled(spark):
     path = _write(spark, ROWS, ["prompt", "A", "B", "C", "D", "E"])
-    q = readers.read_questions_csv(spark, path, kaggle=True).collect()
+    q = readers.read_questions_csv(spark, path, unlabeled=True).collect()
     assert {r.answer for r in q} == {"A"} and len(q) == 2
 
 
@@ -73,7 +73,7 @@ def test_context_csv_sink(spark):
 
 
 def test_output_name():
-    n = writers.output_name("out", "idx/e5-base-v2_v14_0_0.faiss", "train.csv", "intfloat/e5-base-v2", 20, "v14")
+    n = writers.output_name("out", "idx/e5-base-v2_v14_0_0.index", "train.csv", "intfloat/e5-base-v2", 20, "v14")
     assert n == "out/e5-base-v2_v14_0_0__train_e5-base-v2_20_v14.csv"
     n = writers.output_name("out", "idx/e5-base-v2_v14_0_0", "all_data.csv", "intfloat/e5-base-v2", 5, "v14", True)
     assert n == "out/e5-base-v2_v14_0_0_sharded__all_data_e5-base-v2_5_v14.csv"
