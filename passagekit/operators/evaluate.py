@@ -19,8 +19,9 @@ def _clean(preds: Column) -> Column:
 def label_rank(preds: Column, label: Column) -> Column:
     """1-based rank of the label's score in descending order."""
     p = _clean(preds)
-    s = F.element_at(p, label + 1)
-    return 1 + F.size(F.filter(p, lambda x, i: (x > s) | ((x == s) & (i < label))))
+    # the label's score enters the lambda zipped (evaluated once per row)
+    z = F.arrays_zip(p.alias("x"), F.array_repeat(F.element_at(p, label + 1), F.size(preds)).alias("s"))
+    return 1 + F.size(F.filter(z, lambda e, i: (e["x"] > e["s"]) | ((e["x"] == e["s"]) & (i < label))))
 
 
 def argmax(preds: Column) -> Column:
