@@ -95,3 +95,14 @@ def test_sectioning_plan_has_no_exchange(spark):
     plan = corpus.article_sections(fx.articles(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_section_headers(spark):
+    from passagekit.functions.text import passage_text, section_headers
+    text = "x" * 60 + "\n== History ==\n" + "y" * 60 + "\n=======\n" + "z" * 60
+    df = corpus.article_sections(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    rows = df.select("sec", section_headers(F.col("text"), F.col("sec")).alias("headers")).orderBy("sec").collect()
+    assert [(r.sec, r.headers) for r in rows] == [(0, ""), (1, "History."), (2, "")]
+    tagged = df.withColumn("headers", section_headers(F.col("text"), F.col("sec"))) \
+        .select(passage_text(add_tags=True, prefix="passage: ").alias("p")).orderBy("p").collect()
+    assert any(r.p.startswith("History. passage: History.\n") for r in tagged)
