@@ -73,7 +73,8 @@ def each_run(read: Callable, width: int, k: int):
                                 np.concatenate([p[1] for p in pieces]), ends, width, k)
                     if not len(runs.start):
                         continue
-                    runs.did, runs.th = did[which[runs.doc]], th[which[runs.doc]]
+                    runs.part, runs.row = part, which[runs.doc]
+                    runs.did, runs.th = did[runs.row], th[runs.row]
                     runs.at = runs.start + (a - (ends - (b - a)))[runs.doc]
                     runs.key = run_key(runs.did, runs.th, runs.at)
                     yield runs
