@@ -237,21 +237,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; map-only."""
     for block in blocks(benchmark):
-        index = _index(block, rate)
-
-        @F.pandas_udf("boolean")
-        def leaks(text: pd.Series, index=index) -> pd.Series:
-            out = np.zeros(len(text), bool)
-            at = 0
-            for part in text_slices(text):
-                hits = [m[0] for m in index.value.matches(part)]
-                out[[at + i for i in hits]] = True
-                at += len(part)
-            return pd.Series(out)
-
-        docs = docs.where(~leaks(F.col("text")))
+        docs = docs.where(~_leaks(_index(block, rate))(F.col("text")))
     return docs
 
 
+def _leaks(index):
+    @F.pandas_udf("boolean")
+    def leaks(text: pd.Series) -> pd.Series:
+        out, at = np.zeros(len(text), bool), 0
+        for part in text_slices(text):
+            out[[at + m[0] for m in index.value.matches(part)]] = True
+            at += len(part)
+        return pd.Series(out)
+
+    return leaks
+
+
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
