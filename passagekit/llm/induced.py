@@ -7,7 +7,7 @@ priority queue keyed by that neighbour's symbol. Induced suffixes of one symbol
 arrive in their final order, so the queue keeps a first-in-first-out list per
 batch of symbols and moves the lists to files when they exceed ``memory``
 entries. Larger alphabets (the names of deeper levels) are visited in batches of
-symbols; inside a batch the order is refined until it no longer changes.
+symbols; inside a batch the order follows by doubling along chains of neighbours.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def _order_batch(x, want, base, own, lo, hi):
 
     Suffixes that arrived from earlier batches keep their order of arrival;
     those induced inside the batch follow by the order of their right
-    neighbours, refined until it is stable.
+    neighbours, which is found by doubling along the chains of neighbours.
     """
     pos, parent = [base, own], [np.arange(len(base)), np.arange(len(own))]
     n, front, at = len(base) + len(own), np.concatenate([base, own]), np.arange(len(base) + len(own))
@@ -157,18 +157,19 @@ def _order_batch(x, want, base, own, lo, hi):
     is_seed = np.zeros(n, bool)
     is_seed[len(base):fixed] = True
     high = ((x[pos] - lo).astype(np.int64) * 2 + is_seed) << 40
-    low = parent.copy()
-    rank = np.zeros(n, np.int64)
-    order = None
-    while True:
-        low[fixed:] = (1 << 39) + rank[parent[fixed:]]
-        new = np.argsort(high + low, kind="stable")
-        if order is not None and np.array_equal(new, order):
-            return pos[order], ~is_seed[order]
-        order = new
-        rank[order] = np.arange(n)
-        if fixed == n:
+    place = np.full(n, 1 << 39)
+    place[:fixed] = parent[:fixed]
+    parent[:fixed] = np.arange(fixed)
+    key = high + place
+    while True:                                  # chains of right neighbours, twice as long each time
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, key[order[1:]] != key[order[:-1]]]
+        if new.all():
             return pos[order], ~is_seed[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        key = rank * n + rank[parent]
+        parent = parent[parent]
 
 
 def suffix_order(x: np.ndarray, k: int, folder: str, memory: int = MEMORY, depth: int = 0) -> np.ndarray:

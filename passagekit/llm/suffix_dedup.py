@@ -36,9 +36,9 @@ from .induced import MEMORY, suffix_order
 from .repeats import LAST, each_run, keyed, repeated_runs, slices, windows_of, with_spans
 
 WIDTH = 200
-ANCHOR_BYTES = 24
+ANCHOR_BYTES = 96            # long anchors are rare outside true repeats, also in periodic text
 SHARD_BYTES = 1 << 20
-CONTEXTS = 512
+CONTEXTS = 4096
 
 _rng = np.random.default_rng(20240229)
 _H1, _H2 = _rng.integers(0, 1 << 64, (2, 256), np.uint64)
