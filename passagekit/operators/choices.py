@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LETTERS, letter_to_index
+from .corpus import dense_index
 from .encode import tokens
 
 OPTIONS = list(LETTERS)
@@ -32,10 +33,11 @@ def fill_options(df: DataFrame, value: str = MISSING_OPTION) -> DataFrame:
 def shuffle_rows(df: DataFrame, seed: int, id_col: str = "prompt_id") -> DataFrame:
     """Reproducible permutation: rows ordered by a seeded hash of their id.
 
-    Adds ``shuffle_key``; the sort is a range-partitioned ``orderBy`` so it
-    scales (no single-task window)."""
+    Adds ``shuffle_key`` and ``position`` (0-based place in the new order,
+    numbered over key ranges, not in one task)."""
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    return df.withColumn("shuffle_key", key).orderBy("shuffle_key", id_col)
+    keyed = df.withColumn("shuffle_key", key)
+    return dense_index(keyed, ["shuffle_key", id_col], F.substring("shuffle_key", 1, 2), "position")
 
 
 def drop_rows(df: DataFrame, ids: list[int], id_col: str = "prompt_id") -> DataFrame:
@@ -43,8 +45,22 @@ def drop_rows(df: DataFrame, ids: list[int], id_col: str = "prompt_id") -> DataF
     return df.where(~F.col(id_col).isin(list(ids)))
 
 
-def union_train(train: DataFrame, valid: DataFrame) -> DataFrame:
-    return train.unionByName(valid, allowMissingColumns=True)
+def union_train(train: DataFrame, valid: DataFrame, id_col: str = "prompt_id") -> DataFrame:
+    """Rows of both splits with a new row index ``row_id``: the first split
+    keeps its positions, the second's follow after the last of them."""
+    after = F.coalesce(train.select(F.max(id_col)).scalar() + 1, F.lit(0)).cast("long")
+    first = train.withColumn("row_id", F.col(id_col).cast("long"))
+    return first.unionByName(valid.withColumn("row_id", F.col(id_col) + after), allowMissingColumns=True)
+
+
+def prepare_split(train: DataFrame, valid: DataFrame, drop: list[int], seed: int, n: int | None = None) -> DataFrame:
+    """The whole preparation in order: drop rows of the first split by their
+    original position, concatenate with a new row index, shuffle, keep the
+    first ``n`` rows (all when null), fill missing options."""
+    rows = shuffle_rows(union_train(drop_rows(train, drop), valid), seed, "row_id")
+    if n is not None:
+        rows = rows.where(F.col("position") < n)
+    return fill_options(rows)
 
 
 def _opt(c: str) -> Column:

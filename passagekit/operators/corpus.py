@@ -124,6 +124,7 @@ def dense_index(df: DataFrame, order_cols: list[str], bucket: Column, id_col: st
             .drop("_b", "_off"))
 
 
+MIN_RANGES = 8                     # ranges at any size: numbering is never one task
 MAX_BROADCAST_RANGES = 1_000_000   # offsets table rows broadcast at most (16 bytes a row)
 
 
@@ -145,10 +146,7 @@ def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path:
     """
     spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
-    parts = max(1, -(-n // rows_per_range))
-    if parts == 1:
-        # one range: a single bounded task numbers all rows, nothing to fix
-        return df.withColumn(id_col, F.row_number().over(Window.orderBy(*order_cols)) - F.lit(1).cast("long"))
+    parts = max(MIN_RANGES, -(-n // rows_per_range))
     mid = F.monotonically_increasing_id()
     (df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
      .withColumn("_m", mid)
@@ -166,75 +164,6 @@ def dense_index_ranges(df: DataFrame, order_cols: list[str], id_col: str, path:
             .drop("_r", "_p", "_off"))
 
 
-def with_section_ids(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
-                     bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Dense ids in ``(doc_id, sec)`` order and the file each id goes to."""
-    out = dense_index(sections, ["doc_id", "sec"], idiv("doc_id", bucket_docs))
-    return out.withColumn("file", idiv("id", rows_per_file).cast("int"))
-
-
-# ---------------------------------------------------------------------------
-# Exact dedup (keep the first copy in id order) and re-numbering
-# ---------------------------------------------------------------------------
-
-def _keys(sections: DataFrame) -> DataFrame:
-    return sections.select("doc_id", "sec", F.sha2(F.col("text"), 256).alias("h"))
-
-
-def dedup_keys(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
-               bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Key table ``(doc_id, sec, id1, file, dup, id)`` for all sections.
-
-    ``id1``/``file``: ids before dedup; ``dup``: a later copy of an earlier
-    text; ``id``: dense id among survivors (null for copies).
-    """
-    return dedup_keys_hashed(_keys(sections), rows_per_file, bucket_docs)
-
-
-def dedup_keys_hashed(keys: DataFrame, rows_per_file: int = ROWS_PER_FILE,
-                      bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """As :func:`dedup_keys`, from ``(doc_id, sec, h)`` rows."""
-    ids1 = dense_index(keys, ["doc_id", "sec"], idiv("doc_id", bucket_docs), "id1")
-    # first copy per text hash: partial min() on the map side, skew-proof
-    first = ids1.groupBy("h").agg(F.min("id1").alias("id1"))
-    id2 = dense_index(first.select("id1"), ["id1"],
-                      idiv("id1", bucket_docs * 8), "id")
-    return (ids1.join(id2, "id1", "left")
-            .select("doc_id", "sec", "id1",
-                    idiv("id1", rows_per_file).cast("int").alias("file"),
-                    F.col("id").isNull().alias("dup"), "id"))
-
-
-def dedup_exact(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
-                bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Surviving sections with their final ids: ``(id, text, first_sentence,
-    file, id1, doc_id, sec)``. ``file`` is the file the section was in before
-    dedup; ids continue across files."""
-    keys = dedup_keys(sections, rows_per_file, bucket_docs).where(~F.col("dup"))
-    return (sections.join(keys, ["doc_id", "sec"])
-            .select("id", "text", "first_sentence", "file", "id1", "doc_id", "sec"))
-
-
-def dedup_stats(sections: DataFrame, rows_per_file: int = ROWS_PER_FILE,
-                bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Per pre-dedup file and in total: ``(file, is_total, original,
-    duplicated, final)``; the total row has ``file`` null."""
-    return dedup_stats_keys(_keys(sections), rows_per_file, bucket_docs)
-
-
-def dedup_stats_keys(keys: DataFrame, rows_per_file: int = ROWS_PER_FILE,
-                     bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """As :func:`dedup_stats`, from ``(doc_id, sec, h)`` key rows."""
-    keys = dedup_keys_hashed(keys, rows_per_file, bucket_docs)
-    agg = keys.rollup("file").agg(
-        F.count(F.lit(1)).alias("original"),
-        F.sum(F.col("dup").cast("long")).alias("duplicated"),
-        F.grouping_id().alias("_g"),
-    )
-    return agg.select("file", (F.col("_g") == 1).alias("is_total"), "original", "duplicated",
-                      (F.col("original") - F.col("duplicated")).alias("final"))
-
-
 def metadata(sections_with_ids: DataFrame) -> DataFrame:
     """``(id, file)`` lookup of where each section lives."""
     return sections_with_ids.select(F.col("id").cast("long"), F.col("file").cast("int"))

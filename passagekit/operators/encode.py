@@ -13,7 +13,7 @@ token counts, L2 normalised and stored as float32.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
@@ -84,12 +84,16 @@ class HashingEncoder:
             names=["bucket", "cnt", "weight"])
 
 
+_MODELS: dict = {}      # models loaded in this worker process
+
+
 @dataclass
 class CallableEncoder:
     """Wraps ``fn(list[str]) -> ndarray[n, dim]`` (e.g. a sentence encoder).
 
-    ``loader`` is called once per Python worker and its result is passed to
-    ``fn`` as the first argument; vectors are L2-normalised here.
+    ``loader`` is called once per Python worker process and its result is
+    passed to ``fn`` as the first argument; loaded models are told apart by
+    ``name`` and loader. Vectors are L2-normalised here.
     """
     dim: int
     fn: Callable
@@ -97,16 +101,16 @@ class CallableEncoder:
     name: str = "callable"
     query_prefix: str = ""
     passage_prefix: str = ""
-    _state: dict = field(default_factory=dict, repr=False)
 
     def features(self, text: Column) -> Column:
         return text
 
     def encode_arrow(self, arr: pa.Array) -> pa.Array:
-        if self.loader is not None and "model" not in self._state:
-            self._state["model"] = self.loader()
+        key = (self.name, getattr(self.loader, "__module__", ""), getattr(self.loader, "__qualname__", ""))
+        if self.loader is not None and key not in _MODELS:
+            _MODELS[key] = self.loader()
         texts = [t if t is not None else "" for t in arr.to_pylist()]
-        model = self._state.get("model")
+        model = _MODELS.get(key)
         out = np.asarray(self.fn(model, texts) if self.loader else self.fn(texts), dtype=np.float64)
         return _as_list_array(_unit_rows(out) if out.size else np.zeros((0, self.dim), np.float32))
 

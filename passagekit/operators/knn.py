@@ -39,6 +39,7 @@ from ..session import scratch_path, ship_package
 
 MAX_BROADCAST_BYTES = 64 << 20     # query matrix kept on every executor
 QUERY_SUBBLOCK = 1024               # queries scored together in one product
+VECTOR_SUBBLOCK = 8192              # vectors scored together in one product
 VECTORS_PER_TILE = 200_000          # vector rows per tile on the tiled path
 
 _OUT_SCHEMA = "prompt_id long, id long, dist double"
@@ -51,6 +52,8 @@ def _matrix(col: pa.Array) -> np.ndarray:
     n = len(col)
     if n == 0:
         return np.zeros((0, 0))
+    if col.null_count or pc.list_flatten(col).null_count:
+        raise ValueError("null embedding or component: filter or fill nulls before the search")
     vals = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
     return vals.reshape(n, -1)
 
@@ -72,6 +75,7 @@ def topk_block(Q: np.ndarray, V: np.ndarray, vids: np.ndarray, k: int):
     """Local top-k of every query row against a block of vectors.
 
     Returns ``(query_index, vector_id, dist)`` with at most k rows per query.
+    NaN distances (a NaN component on either side) rank last, by id.
     """
     if len(V) == 0 or len(Q) == 0:
         e = np.zeros(0, np.int64)
@@ -82,39 +86,46 @@ def topk_block(Q: np.ndarray, V: np.ndarray, vids: np.ndarray, k: int):
     D = np.round(np.maximum(D, 0.0), 6) + 0.0
     kk = min(k, D.shape[1])
     if D.shape[1] > kk:
-        thr = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-        qi, vi = np.nonzero(D <= thr[:, None])
+        order = np.where(np.isnan(D), np.inf, D)
+        thr = np.partition(order, kk - 1, axis=1)[:, kk - 1]
+        qi, vi = np.nonzero(order <= thr[:, None])
     else:
         qi, vi = np.nonzero(np.ones_like(D, dtype=bool))
     return _select_topk(qi.astype(np.int64), vids[vi].astype(np.int64), D[qi, vi], k)
 
 
 class _Accumulator:
-    """Running top-k per query across several blocks of one task."""
+    """Running top-k per query across several blocks of one task, kept per
+    sub-block of queries so that a merge touches that sub-block only."""
 
     def __init__(self, k: int):
         self.k = k
-        self.parts = []
+        self.parts: dict[int, list] = {}
 
-    def add(self, qi, ids, dist):
-        self.parts.append((qi, ids, dist))
-        if len(self.parts) >= 8:
-            self.parts = [self.result()]
+    def add(self, block: int, qi, ids, dist):
+        own = self.parts.setdefault(block, [])
+        own.append((qi, ids, dist))
+        if len(own) >= 8:
+            self.parts[block] = [self._merge(own)]
+
+    def _merge(self, parts):
+        return _select_topk(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.k)
 
     def result(self):
-        if not self.parts:
+        done = [self._merge(p) for _, p in sorted(self.parts.items())]
+        if not done:
             e = np.zeros(0, np.int64)
             return e, e, np.zeros(0)
-        qi = np.concatenate([p[0] for p in self.parts])
-        ids = np.concatenate([p[1] for p in self.parts])
-        dist = np.concatenate([p[2] for p in self.parts])
-        return _select_topk(qi, ids, dist, self.k)
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
 
 def _score_blocks(Q, V, vids, k, acc):
-    for s in range(0, len(Q), QUERY_SUBBLOCK):
-        qi, ids, dist = topk_block(Q[s:s + QUERY_SUBBLOCK], V, vids, k)
-        acc.add(qi + s, ids, dist)
+    """Score in sub-blocks of both sides: the distance matrix held at once has
+    at most ``QUERY_SUBBLOCK x VECTOR_SUBBLOCK`` cells."""
+    for v in range(0, len(V), VECTOR_SUBBLOCK):
+        for s in range(0, len(Q), QUERY_SUBBLOCK):
+            qi, ids, dist = topk_block(Q[s:s + QUERY_SUBBLOCK], V[v:v + VECTOR_SUBBLOCK], vids[v:v + VECTOR_SUBBLOCK], k)
+            acc.add(s, qi + s, ids, dist)
 
 
 def _broadcast_kernel(bc, k: int, vid: str, vcol: str, shard_col: str | None):

@@ -2,9 +2,8 @@
 
 Shapes at scale: hits are ``k`` rows per question, so everything keyed by
 question is bounded by ``k`` (sections) or ``k_lines`` (lines). The only
-many-to-many step is hits x lines on the section id; a section hit by a
-third of all questions is a skewed key there, which AQE's skew-join split
-handles (the lines of one section are small).
+many-to-many step is hits x lines on the section id; a section hit by very
+many questions is salted there (its few lines are repeated per salt).
 """
 
 from __future__ import annotations
@@ -14,11 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.vector import sq_l2
-from ..session import broadcast_if_small
 
 CONTEXT_SEPARATOR = "<SS>"   # fixed value: appended after every context line
-BROADCAST_KEY_ROWS = 2_000_000   # distinct hit keys broadcast at most (~32 MB)
-MAX_PRUNED_FILES = 100_000       # hit files turned into a partition filter at most
+HITS_PER_TASK = 10_000           # questions of one section handled together
 RETRIEVER_K = 20
 CONTEXT_TOP_K = 35
 
@@ -33,22 +30,15 @@ def hit_files(selected: DataFrame) -> DataFrame:
     return selected.select("file").distinct()
 
 
-def load_articles(selected: DataFrame, sections: DataFrame,
-                  broadcast_rows: int = BROADCAST_KEY_ROWS, max_files: int = MAX_PRUNED_FILES) -> DataFrame:
+def load_articles(selected: DataFrame, sections: DataFrame) -> DataFrame:
     """Sections that were hit, once each: left-semi join on ``(file, id)``.
 
-    Files without hits are never opened: the distinct hit files (at most one
-    row per section file, checked against ``max_files``) become a
-    ``file IN (...)`` partition filter on the scan. The distinct hit keys are
-    broadcast when a count proves them small (16 bytes a key), otherwise the
-    semi join shuffles. A semi join never repeats a left row and section ids
-    are unique, so the result is already distinct (no extra shuffle).
+    With sections partitioned by ``file``, dynamic partition pruning opens only
+    files with hits; the planner chooses how the keys travel. A semi join never
+    repeats a left row and section ids are unique, so the result is distinct.
     """
-    if "file" in sections.columns:
-        files = [r[0] for r in selected.select("file").distinct().limit(max_files + 1).collect()]
-        if len(files) <= max_files:
-            sections = sections.where(F.col("file").isin(files))
-    keys = broadcast_if_small(selected.select("file", "id").distinct(), broadcast_rows)
+    # files are numbered from 0; the predicate tells the optimizer that the keys select
+    keys = selected.where(F.col("file") >= 0).select("file", "id").distinct()
     return sections.join(keys, ["file", "id"], "left_semi")
 
 
@@ -72,12 +62,20 @@ def rerank(hits: DataFrame, lines: DataFrame, query_vecs: DataFrame, k: int = CO
     Ties go to the lower ``(document_id, pos)``; questions whose sections
     have fewer than ``k`` lines get all of them.
     """
-    cand = (hits.select("prompt_id", F.col("id").alias("document_id"))
-            .join(lines.select("document_id", "pos", "text", line_vec), "document_id"))
-    cand = cand.join(query_vecs.select("prompt_id", F.col(query_vec).alias("_q")), "prompt_id")
-    cand = cand.withColumn("dist", F.round(sq_l2(F.col("_q"), F.col(line_vec)), 6))
+    asked = (hits.select("prompt_id", F.col("id").alias("document_id"))
+             .join(query_vecs.select("prompt_id", F.col(query_vec).alias("_q")), "prompt_id"))
+    # a section hit by very many questions is dealt to several tasks
+    salts = F.ceil(F.col("_n") / F.lit(HITS_PER_TASK)).cast("int")
+    sizes = hits.groupBy(F.col("id").alias("document_id")).agg(F.count(F.lit(1)).alias("_n"))
+    asked = asked.join(sizes, "document_id").withColumn("_s", F.pmod(F.xxhash64("prompt_id"), salts).cast("int"))
+    vecs = (lines.select("document_id", "pos", line_vec).join(sizes, "document_id")
+            .withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))))
+    dist = F.round(sq_l2(F.col("_q"), F.col(line_vec)), 6).alias("dist")
+    # neither text nor vectors go on to the exchange by question
+    cand = asked.drop("_n").join(vecs.drop("_n"), ["document_id", "_s"]).select("prompt_id", "document_id", "pos", dist)
     w = Window.partitionBy("prompt_id").orderBy("dist", "document_id", "pos")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (best.join(lines.select("document_id", "pos", "text"), ["document_id", "pos"])
             .select("prompt_id", "rank", "document_id", "pos", "text", "dist"))
 
 

@@ -8,7 +8,7 @@ Two written stages, as the collection is built at scale:
    written table cuts lineage, so losing executors later never re-parses
    the articles.
 2. ``sections``: survivors with final ids, partitioned by ``file``, written
-   with one shuffle of the text (:func:`write_sections_colocated`); plus
+   by id ranges (:func:`write_sections_colocated`); plus
    the ``(id, file)`` metadata table. The survivor key table in between is
    written too (small), so no step recomputes the key pipeline.
 """
@@ -40,10 +40,6 @@ def stage_sections(articles: DataFrame, path: str, min_len: int = corpus.MIN_SEC
     return articles.sparkSession.read.parquet(path)
 
 
-MAX_FILE_BOUNDARIES = 1_000_000   # file boundaries collected to place rows (one per file)
-BROADCAST_SURVIVOR_ROWS = 2_000_000   # survivor keys broadcast at most (~50 MB)
-
-
 def survivor_keys(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
                   rows_per_range: int = 4_000_000, scratch: str | None = None) -> DataFrame:
     """``(doc_id, sec, id1, id, file)`` of the sections that survive dedup,
@@ -63,60 +59,17 @@ def survivor_keys(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
     return spark.read.parquet(f"{scratch}/survivors")
 
 
-def write_sections_colocated(staged: DataFrame, survivors: DataFrame, path: str, mode: str = "overwrite",
-                             max_boundaries: int = MAX_FILE_BOUNDARIES,
-                             broadcast_rows: int = BROADCAST_SURVIVOR_ROWS) -> None:
-    """Attach final ids to the text and write it partitioned by ``file``
-    with one shuffle of the text.
-
-    Survivor keys under ``broadcast_rows`` (a count of the written key table
-    checks it): broadcast join, then the text's one shuffle lays out the
-    files. Above it:
-
-    Both sides are placed by ``_fb``, the doc-id range of each output file
-    (``Bucketizer`` over the first doc id of every file, one boundary per
-    file). The join on ``(_fb, doc_id, sec)`` then reuses that placement
-    (``requireAllClusterKeysForCoPartition=false`` during the write), so
-    every task holds contiguous id ranges and writes only a few ``file``
-    directories: no second shuffle by ``file``. ``_fb`` steers placement
-    only; both sides compute it with the same function, so matching never
-    depends on it. Too many files for the boundary list: join, then
-    repartition by ``file``.
-    """
-    from pyspark.ml.feature import Bucketizer
+def write_sections_colocated(staged: DataFrame, survivors: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Attach final ids to the text and write it partitioned by ``file``.
 
-    spark = staged.sparkSession
+    One plan at any size: the planner picks the join, and a range placement by
+    id gives every task contiguous ids, so it writes a few ``file`` directories
+    only, whatever the number of files.
+    """
     cols = ["id", "text", "first_sentence", "file", "id1", "doc_id", "sec"]
     text = staged.select("doc_id", "sec", "text", "first_sentence")
-    if survivors.count() <= broadcast_rows:
-        writers.write_sections(text.join(F.broadcast(survivors), ["doc_id", "sec"]).select(*cols), path,
-                               mode=mode, extra_columns=["id1", "doc_id", "sec"])
-        return
-    firsts = survivors.groupBy("file").agg(F.min("doc_id").alias("d")).orderBy("file")
-    bounds = [r["d"] for r in firsts.limit(max_boundaries + 1).collect()]
-    if len(bounds) > max_boundaries:
-        writers.write_sections(text.join(survivors, ["doc_id", "sec"]).select(*cols), path, mode=mode,
-                               extra_columns=["id1", "doc_id", "sec"])
-        return
-    inner = sorted({float(d) for d in bounds[1:]})
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def place(df: DataFrame) -> DataFrame:
-        if not inner:
-            df = df.withColumn("_fb", F.lit(0))
-        else:
-            b = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol="_d", outputCol="_fb")
-            df = b.transform(df.withColumn("_d", F.col("doc_id").cast("double"))).drop("_d")
-        return df.withColumn("_fb", F.col("_fb").cast("int")).repartition(nparts, "_fb")
-
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    old = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        joined = place(text).join(place(survivors), ["_fb", "doc_id", "sec"]).select(*cols)
-        (joined.sortWithinPartitions("file", "id").write.mode(mode).partitionBy("file").parquet(path))
-    finally:
-        spark.conf.set(key, old)
+    (text.join(survivors, ["doc_id", "sec"]).select(*cols).repartitionByRange("id")
+     .sortWithinPartitions("file", "id").write.mode(mode).partitionBy("file").parquet(path))
 
 
 def dedup_staged(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,

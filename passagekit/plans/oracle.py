@@ -8,6 +8,8 @@ products instead of dense kernels. Blocks are named CTEs with dependencies;
 
 from __future__ import annotations
 
+from ..functions.text import BGE_QUERY_PREFIX
+
 STRIP = r"regexp_replace({x}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 BLOCKED = "('See also','Notes','External links','Overview','Description','Career','Sources')"
 
@@ -256,10 +258,36 @@ WHERE prompt = (SELECT min(prompt) FROM questions) ORDER BY prompt_id LIMIT 1"""
     "fill_options": (["questions"], """SELECT prompt_id, coalesce(A, 'None') AS A, coalesce(B, 'None') AS B,
   coalesce(C, 'None') AS C, coalesce(D, 'None') AS D, coalesce(E, 'None') AS E FROM questions"""),
     "drop_rows": (["questions"], """SELECT prompt_id, prompt FROM questions
-WHERE prompt_id NOT IN (21577, 27521, 9242, 4028, 8593, 19977, 26948, 17389, 0, 7, 13)"""),
-    "shuffle_rows": (["questions"], "SELECT prompt_id, md5(prompt_id::VARCHAR || ':0') AS shuffle_key FROM questions"),
-    "union_train": (["questions"], """SELECT prompt_id, prompt, answer, 'train' AS source FROM questions
-UNION ALL SELECT prompt_id, prompt, answer, 'valid' AS source FROM questions"""),
+WHERE prompt_id NOT IN (0, 7, 13, 100000)"""),
+    "shuffle_rows": (["questions"], """SELECT prompt_id, md5(prompt_id::VARCHAR || ':0') AS shuffle_key,
+  row_number() OVER (ORDER BY md5(prompt_id::VARCHAR || ':0'), prompt_id) - 1 AS position FROM questions"""),
+    "union_train": (["questions"], """SELECT prompt_id, prompt, answer, 'train' AS source, prompt_id AS row_id FROM questions
+UNION ALL SELECT prompt_id, prompt, answer, 'valid' AS source,
+  prompt_id + (SELECT max(prompt_id) + 1 FROM questions) AS row_id FROM questions"""),
+    "prepare_split": (["questions"], """SELECT row_id, prompt_id, position, prompt, coalesce(A, 'None') AS A, coalesce(B, 'None') AS B,
+  coalesce(C, 'None') AS C, coalesce(D, 'None') AS D, coalesce(E, 'None') AS E, answer FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(row_id::VARCHAR || ':0')) - 1 AS position FROM (
+    SELECT *, prompt_id AS row_id FROM questions WHERE prompt_id NOT IN (0, 7, 13)
+    UNION ALL SELECT *, prompt_id + (SELECT max(prompt_id) + 1 FROM questions WHERE prompt_id NOT IN (0, 7, 13)) FROM questions))
+WHERE position < 100"""),
+    "questions_unlabeled": (["questions"], "SELECT prompt_id, prompt, A, B, C, D, E, 'A' AS answer FROM questions"),
+    "sections_scan": (["corpus"], "SELECT id, text, first_sentence, file FROM corpus"),
+    "articles_sorted": (["selected"], """SELECT id, prompt_id, file,
+  row_number() OVER (ORDER BY file, id, prompt_id) - 1 AS position FROM selected"""),
+    "sectionize_sorted": (["loaded"], """SELECT id AS document_id, 0::INTEGER AS start, length(text)::INTEGER AS "end",
+  row_number() OVER (ORDER BY id) - 1 AS position FROM loaded"""),
+    "query_text_bge": (["questions"], f"""SELECT prompt_id, '{BGE_QUERY_PREFIX}' || concat_ws(' ', coalesce(prompt, 'nan'),
+  coalesce(C, 'nan'), coalesce(A, 'nan'), coalesce(B, 'nan'), coalesce(D, 'nan'), coalesce(E, 'nan')) AS query_text FROM questions"""),
+    "mc_pairs_shuffled": (["_mc"], """SELECT m.prompt_id, m.choice,
+  '[CLS] ' || o.others || ' ### ' || context AS first,
+  ' ### ' || prompt || ' [SEP] ' || option || ' [SEP]' AS second, (instr('ABCDE', answer) - 1)::INTEGER AS label
+FROM _mc m JOIN (SELECT prompt_id, choice, string_agg(o, '(o) ' ORDER BY md5('0:' || prompt_id::VARCHAR || ':' || choice::VARCHAR || ':' || i::VARCHAR)) AS others
+  FROM (SELECT prompt_id, choice, unnest(list_concat(opts[1:choice], opts[choice + 2:5])) AS o, unnest(range(4)) AS i FROM _mc) GROUP BY ALL) o
+  ON o.prompt_id = m.prompt_id AND o.choice = m.choice"""),
+    "knn_nan": ([], _KNN.replace("embeddings WHERE vec_id % 25 = 0", "embeddings WHERE vec_id % 25 = 0 AND vec_id % 7 <> 0").replace(
+        "FROM q CROSS JOIN embeddings e)", "FROM q CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 7 <> 0) e)")),
+    "sink_modes": (["_pred"], """SELECT id, substring('ABCDE', (am + 1)::INTEGER, 1) AS pred,
+  substring('ABCDE', (label + 1)::INTEGER, 1) AS label FROM _score"""),
     "mc_pairs": (["_mc"], """SELECT prompt_id, choice, '[CLS] ' || context AS first,
   ' #### ' || prompt || ' [SEP] ' || option || ' [SEP]' AS second, (instr('ABCDE', answer) - 1)::INTEGER AS label FROM _mc"""),
     "mc_pairs_answers": (["_mca"], "SELECT prompt_id, choice, first, second, label FROM _mca"),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import passage_text, query_text, section_headers
+from ..functions.text import BGE_MODELS, passage_text, query_text, section_headers
 from ..functions.vector import l2_normalize
 from ..operators import choices, corpus, encode, evaluate, knn, retrieve
 from ..session import scratch_path
@@ -21,13 +21,13 @@ from ..sources import readers, writers
 from . import corpus_build
 from .context import QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
 
-# Fixed test positions for the row-drop operator: the reference's eight
-# positions (beyond our tables) plus three that exist.
-DROP_POSITIONS = [21577, 27521, 9242, 4028, 8593, 19977, 26948, 17389, 0, 7, 13]
+DROP_POSITIONS = [0, 7, 13, 100_000]     # three that exist and one beyond our tables
 SHUFFLE_SEED = 0
 MAX_TOKENS = 64
 SHARDS = 16
 DEV_ROWS_PER_FILE = 100
+DEV_ROWS = 100
+BGE_MODEL = sorted(BGE_MODELS)[0]
 
 
 def _i(spark, sf_dir) -> Inputs:
@@ -219,7 +219,7 @@ def q_drop_rows(spark, d):
 
 
 def q_shuffle_rows(spark, d):
-    return choices.shuffle_rows(_i(spark, d).questions, SHUFFLE_SEED).select("prompt_id", "shuffle_key")
+    return choices.shuffle_rows(_i(spark, d).questions, SHUFFLE_SEED).select("prompt_id", "shuffle_key", "position")
 
 
 def q_union_train(spark, d):
@@ -227,6 +227,68 @@ def q_union_train(spark, d):
     return choices.union_train(q.withColumn("source", F.lit("train")), q.withColumn("source", F.lit("valid")))
 
 
+def q_prepare_split(spark, d):
+    """Drop, concatenate, shuffle, head and fill, composed."""
+    q = _i(spark, d).questions
+    return choices.prepare_split(q, q, DROP_POSITIONS, SHUFFLE_SEED, DEV_ROWS).select(
+        "row_id", "prompt_id", "position", "prompt", "A", "B", "C", "D", "E", "answer")
+
+
+def q_questions_unlabeled(spark, d):
+    """Questions without answers through the CSV source: answer is ``A``."""
+    path = scratch_path(spark, "unlabeled_csv")
+    q = _i(spark, d).questions.orderBy("prompt_id")
+    writers.write_csv(q, path, ["prompt", "A", "B", "C", "D", "E"], mode="errorifexists")
+    return readers.read_questions_csv(spark, path, unlabeled=True)
+
+
+def q_sections_scan(spark, d):
+    """Section directory that also holds the metadata table."""
+    i, path = _i(spark, d), scratch_path(spark, "sections")
+    writers.write_sections(i.corpus, path, mode="errorifexists")
+    writers.write_metadata(i.meta, f"{path}/metadata.parquet", mode="errorifexists")
+    return readers.read_sections(spark, path).select("id", "text", "first_sentence", "file")
+
+
+def q_articles_sorted(spark, d):
+    """Hits in ``(file, id)`` order, with their position."""
+    return corpus.dense_index(_i(spark, d).selected, ["file", "id", "prompt_id"], F.col("file"), "position")
+
+
+def q_sectionize_sorted(spark, d):
+    """Spans in ``(document_id, offset)`` order, with their position."""
+    s = retrieve.sectionize(_i(spark, d).loaded).select(
+        "document_id", F.col("offset.start").alias("start"), F.col("offset.end").alias("end"))
+    return corpus.dense_index(s, ["document_id", "start", "end"], corpus.idiv("document_id", ROWS_PER_FILE), "position")
+
+
+def q_query_text_bge(spark, d):
+    return _i(spark, d).questions.select("prompt_id", query_text(BGE_MODEL).alias("query_text"))
+
+
+def q_mc_pairs_shuffled(spark, d):
+    """The other options in a seeded order (the default of training data)."""
+    return choices.mc_pairs(_ctx_filled(spark, d), with_answers=True, shuffle_seed=SHUFFLE_SEED)
+
+
+def q_knn_nan(spark, d):
+    """Every seventh vector has a NaN component: it ranks last, and no finite
+    neighbour is lost."""
+    e = _i(spark, d).embeddings
+    bad = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 7 == 0) & (i == 3), F.lit("NaN").cast("float")).otherwise(x))
+    return knn.knn(fx.vector_queries(e.where("vec_id % 7 <> 0")), fx.vectors(e.withColumn("embedding", bad)), RETRIEVER_K)
+
+
+def q_sink_modes(spark, d):
+    """Overwrite replaces an output, ignore leaves a finished one alone."""
+    path = scratch_path(spark, "modes")
+    letters = evaluate.pred_letters(_i(spark, d).predictions)
+    letters.where("id < 10").write.mode("overwrite").parquet(path)
+    letters.write.mode("overwrite").parquet(path)
+    letters.where("id < 10").write.mode("ignore").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _ctx_filled(spark, d) -> DataFrame:
     return choices.fill_options(_i(spark, d).contexts)
 
@@ -316,4 +378,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pred_letters": q_pred_letters,
     "pred_csv": q_pred_csv,
     "dev_prompt": q_dev_prompt,
+    "prepare_split": q_prepare_split,
+    "questions_unlabeled": q_questions_unlabeled,
+    "sections_scan": q_sections_scan,
+    "articles_sorted": q_articles_sorted,
+    "sectionize_sorted": q_sectionize_sorted,
+    "query_text_bge": q_query_text_bge,
+    "mc_pairs_shuffled": q_mc_pairs_shuffled,
+    "knn_nan": q_knn_nan,
+    "sink_modes": q_sink_modes,
 }

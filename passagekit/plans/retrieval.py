@@ -34,13 +34,19 @@ def question_vectors(questions: DataFrame, encoder) -> DataFrame:
     return encode.encode(q, encoder, "_qt", "embedding").select("prompt_id", "embedding")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "question-vectors")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def retrieve_contexts(questions: DataFrame, sections: DataFrame, metadata: DataFrame, vectors: DataFrame,
                       encoder, k: int = retrieve.RETRIEVER_K, k_lines: int = retrieve.CONTEXT_TOP_K,
                       line_encoder=None, hits_path: str | None = None) -> Retrieval:
     """All stages of retrieval; ``line_encoder`` re-ranks lines (defaults to
     ``encoder``), questions are encoded once per encoder."""
     spark = questions.sparkSession
-    qv = question_vectors(questions, encoder)
+    qv = _written(question_vectors(questions, encoder))      # each encoder runs once per question
     hits_path = hits_path or scratch_path(spark, "hits")
     knn.knn(qv, vectors.select("id", "embedding"), k).write.mode("errorifexists").parquet(hits_path)
     hits = spark.read.parquet(hits_path)
@@ -49,7 +55,7 @@ def retrieve_contexts(questions: DataFrame, sections: DataFrame, metadata: DataF
     lines = retrieve.split_lines(loaded)
     le = line_encoder or encoder
     lv = encode.encode(lines, le, "text", "embedding", prefix=le.passage_prefix)
-    lqv = qv if le is encoder else question_vectors(questions, le)
+    lqv = qv if le is encoder else _written(question_vectors(questions, le))
     ranked = retrieve.rerank(hits, lv, lqv.withColumnRenamed("embedding", "qvec"), k_lines)
     contexts = retrieve.context_dataset(questions, retrieve.build_context(ranked))
     return Retrieval(qv, hits, selected, loaded, lines, ranked, contexts)

@@ -43,12 +43,16 @@ def get_spark(master: str | None = None, app: str = "passagekit",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) do we set one ourselves.
+    Only in local mode may the session name none (tests); then we set one
+    ourselves. On a cluster a machine-local folder would lose rows, so an
+    unset folder is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = os.path.join("/tmp", "passagekit-checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
@@ -109,11 +113,3 @@ def spread(df, min_partitions: int | None = None):
 def load(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True):
     df = table(spark, sf_dir, name)
     return spread(df) if spread_rows else df
-
-
-def broadcast_if_small(df, max_rows: int):
-    """``F.broadcast(df)`` when a count proves it has at most ``max_rows``
-    rows, else ``df`` unchanged (the planner/AQE then picks a shuffle join).
-    The count runs a job: call it on materialised or cheap inputs."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -81,11 +81,6 @@ def vector_queries(embeddings: DataFrame) -> DataFrame:
             .select(F.col("vec_id").alias("prompt_id"), "embedding"))
 
 
-def vector_metadata(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").alias("id"),
-                             (F.col("vec_id") / VECTORS_PER_META_FILE).cast("int").alias("file"))
-
-
 def questions(benchmark: DataFrame) -> DataFrame:
     """``(prompt_id, prompt, A, B, C, D, E, answer)`` from ``benchmark``.
 

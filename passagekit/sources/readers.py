@@ -41,8 +41,11 @@ def read_questions_csv(spark: SparkSession, path: str, unlabeled: bool = False,
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Section table (``id, text, first_sentence``; partition column ``file``)."""
-    return spark.read.parquet(path)
+    """Section table (``id, text, first_sentence``; partition column ``file``).
+
+    Only the ``file=`` directories are read: metadata and index files may lie
+    in the same directory."""
+    return spark.read.option("basePath", path).parquet(f"{path}/file=*")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

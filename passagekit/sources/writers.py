@@ -28,7 +28,7 @@ def write_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Vectors, partitioned by ``shard`` when the column is present."""
     w = df.write.mode(mode)
     if "shard" in df.columns:
-        df = df.repartition("shard")
+        df = df.repartitionByRange("shard", "id")      # a shard may be written by several tasks
         w = df.write.mode(mode).partitionBy("shard")
     w.parquet(path)
 

@@ -38,8 +38,12 @@ def test_truncate(spark):
 
 def test_shuffle_drop_union(spark):
     df = spark.createDataFrame(Q, SCHEMA)
-    a = [r.prompt_id for r in choices.shuffle_rows(df, 1).collect()]
-    b = [r.prompt_id for r in choices.shuffle_rows(df, 1).collect()]
-    assert a == b and sorted(a) == [0, 1]
+    a = [(r.position, r.prompt_id) for r in choices.shuffle_rows(df, 1).collect()]
+    b = [(r.position, r.prompt_id) for r in choices.shuffle_rows(df, 1).collect()]
+    assert sorted(a) == sorted(b) and sorted(p for p, _ in a) == [0, 1]
     assert [r.prompt_id for r in choices.drop_rows(df, [0]).collect()] == [1]
-    assert choices.union_train(df, df.drop("context")).count() == 4
+    both = choices.union_train(df, df.drop("context"))
+    assert sorted(r.row_id for r in both.collect()) == [0, 1, 2, 3]
+    assert choices.drop_rows(both, [0], "row_id").count() == 3
+    split = choices.prepare_split(df, df, [0], 1, n=2).collect()
+    assert sorted(r.position for r in split) == [0, 1] and all(r.C is not None for r in split)

@@ -24,9 +24,14 @@ def test_dense_index_equals_global_row_number(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
 
 
+def _staged(spark, kept):
+    path = scratch_path(spark, "t-staged")
+    kept.withColumn("h", F.sha2("text", 256)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def test_ids_dense_and_files(spark):
-    kept = _kept(spark)
-    ids = corpus.with_section_ids(kept, rows_per_file=50, bucket_docs=7).toPandas()
+    ids = corpus_build.ids_staged(_staged(spark, _kept(spark)), rows_per_file=50, rows_per_range=20).toPandas()
     assert sorted(ids["id"]) == list(range(len(ids)))
     assert (ids["file"] == ids["id"] // 50).all()
     order = ids.sort_values(["doc_id", "sec"])["id"].tolist()
@@ -35,29 +40,22 @@ def test_ids_dense_and_files(spark):
 
 def test_dedup_keeps_first_copy_and_is_idempotent(spark):
     kept = _kept(spark)
-    d1 = corpus.dedup_exact(kept, rows_per_file=50, bucket_docs=7).toPandas()
+    d1 = corpus_build.dedup_staged(_staged(spark, kept), 50).toPandas()
     assert len(d1) == 309 and d1["text"].is_unique
     assert sorted(d1["id"]) == list(range(len(d1)))
     allk = kept.toPandas().sort_values(["doc_id", "sec"])
     first = allk.drop_duplicates("text", keep="first")
     assert sorted(zip(first.doc_id, first.sec)) == sorted(zip(d1.doc_id, d1.sec))
-    again = corpus.dedup_exact(spark.createDataFrame(d1[["doc_id", "sec", "text", "first_sentence"]]),
-                               rows_per_file=50, bucket_docs=7)
-    assert again.count() == len(d1)
-
-
-def test_bucket_size_does_not_change_result(spark):
-    kept = _kept(spark)
-    a = corpus.dedup_exact(kept, 50, 3).select("id", "doc_id", "sec").collect()
-    b = corpus.dedup_exact(kept, 50, 1 << 20).select("id", "doc_id", "sec").collect()
-    assert sorted(a) == sorted(b)
+    again = spark.createDataFrame(d1[["doc_id", "sec", "text", "first_sentence"]])
+    assert corpus_build.dedup_staged(_staged(spark, again), 50).count() == len(d1)
 
 
-def test_stats_rollup(spark):
-    st = {(r.file, r.is_total): r for r in corpus.dedup_stats(_kept(spark), 250).collect()}
-    total = st[(None, True)]
-    assert (total.original, total.duplicated, total.final) == (339, 30, 309)
-    assert sum(r.original for k, r in st.items() if not k[1]) == 339
+def test_numbering_never_runs_in_one_task(spark):
+    """No exchange of key rows to a single partition, at the smallest size."""
+    ids = corpus_build.ids_staged(_staged(spark, _kept(spark)), 50)
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    single = [x for x in plan.split("\n") if "SinglePartition" in x]
+    assert "Window" not in plan or all("_n" in plan[plan.index(x):][:600] for x in single)
 
 
 def test_hot_copy_group(spark):
@@ -65,7 +63,7 @@ def test_hot_copy_group(spark):
     hot = "the same paragraph repeated many times over " * 3
     rows = [(i, 0, hot if i % 3 == 0 else f"unique text number {i} " * 5, "") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, sec int, text string, first_sentence string")
-    out = corpus.dedup_exact(df, 100, 16).toPandas()
+    out = corpus_build.dedup_staged(_staged(spark, df), 100, rows_per_range=37).toPandas()
     assert len(out) == 401
     assert out.loc[out.text == hot, "doc_id"].tolist() == [0]
 

@@ -106,3 +106,29 @@ def test_plan_uses_group_limit(spark, data):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("kw", [{}, {"strategy": "vectors"}, {"strategy": "blocked", "max_broadcast_bytes": 256},
+                                {"force_tiled": True, "max_broadcast_bytes": 256, "vectors_per_tile": 37}])
+def test_nan_ranks_last_and_loses_nothing(spark, kw):
+    rng = np.random.default_rng(1)
+    V = rng.normal(size=(60, 4)).astype(np.float32)
+    V[5:58, 2] = np.nan                      # fewer finite rows than k in most blocks
+    Q = np.vstack([V[:2], V[5:6]])
+    q, v = frames(spark, Q, [0, 1, 2], V, np.arange(60))
+    got = {}
+    for p, rank, i, d in ((r.prompt_id, r.rank, r.id, r.dist) for r in knn.knn(q, v, 10, **kw).collect()):
+        got.setdefault(p, {})[rank] = (i, d)
+    finite = [i for i in range(60) if not np.isnan(V[i]).any()]
+    for p in (0, 1):
+        d = {i: round(float(((V[i].astype(float) - Q[p].astype(float)) ** 2).sum()), 6) for i in finite}
+        want = sorted(finite, key=lambda i: (d[i], i)) + list(range(5, 58))
+        assert [got[p][r][0] for r in range(1, 11)] == want[:10]
+    assert [got[2][r][0] for r in range(1, 11)] == list(range(10))     # all distances NaN: by id
+
+
+def test_null_embedding_is_rejected(spark):
+    v = spark.createDataFrame([(1, None), (2, [1.0])], "id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0])], "prompt_id long, embedding array<float>")
+    with pytest.raises(Exception, match="null embedding"):
+        knn.knn(q, v, 1).collect()
