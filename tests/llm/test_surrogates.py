@@ -58,3 +58,11 @@ def test_all_planted_entities_go(spark):
     found = lambda d: {x for r in d.select(F.regexp_extract_all("text", F.lit(s.PATTERN), F.lit(0)).alias("m")).collect() for x in r.m or []}
     before, after = found(docs), found(s.pseudonymise(docs, "k"))
     assert len(before) > 20 and not before & after and len(after) == len(before)
+
+
+def test_hint_is_in_every_entity(spark):
+    whole = [s.FORMATS[k] for k in s.FORMATS]
+    rows = [(x,) for x in ["a@b.c", "a1bc2de3fa4bc5de6fa7bc8de9fa0bcd", "+1 22 33", "(12) 345-678", "1.2.3.4", "Sra. Ana", "Monsieur X Y",
+                           "Señora Álvarez", "Mme Duval", "DE89 3704 0044 0532", "123-45-6789"]]
+    out = spark.createDataFrame(rows, "t string").select(F.col("t").rlike(s.PATTERN).alias("p"), F.col("t").rlike(s.HINT).alias("h")).collect()
+    assert whole and all(r.h for r in out if r.p) and sum(r.p for r in out) >= 8
