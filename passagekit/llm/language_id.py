@@ -54,8 +54,10 @@ def trigrams(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram log probabilities (languages x buckets)."""
-    rows = (docs.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-            .select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
+    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # at most ``sample`` ids are broadcast; only their texts move
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
     def count(batches):
         for b in batches:
