@@ -10,7 +10,9 @@ they are written.
 
 Distinct canonical forms are collected by a partial aggregate; a stand-in that
 equals another's or any real entity of its type is drawn again until none
-clashes. Mentions meet their stand-ins in a join whose hot keys Spark splits;
+clashes. Redrawn names grow by a syllable a draw, and the other types but ipv4
+and tokens grow from draw ``LONGER`` on, so stand-ins never run out, also where
+a format is too short for all its entities. Mentions meet their stand-ins in a join whose hot keys Spark splits;
 only documents with an entity are shuffled.
 
 Defined results: a null text stays null; empty texts and texts without entities
@@ -54,6 +56,7 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["bar", "del", "fin", "gor", "hal", "kin", "lor", "mon", "nev", "ral", "sen", "tor"],
              "cyrillic": ["бар", "дел", "фин", "гор", "лор", "мон", "нев", "рал", "сен", "тор"]}
+LONGER = 6                   # draws that keep the length; later ones append to it
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
 
@@ -70,6 +73,13 @@ def _byte(h: Column, i: Column) -> Column:
     return F.conv(F.substring(h, ((i * 2) % 64 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
+def _appended(options: list[str], h: Column, n: Column) -> Column:
+    """``n`` words of ``options`` drawn from a digest, as one string."""
+    places = F.arrays_zip(F.sequence(F.lit(1), n).alias("i"), F.array_repeat(h, n).alias("h"))
+    drawn = F.transform(places, lambda x: _word(options, _byte(x["h"], x["i"] + 2)))
+    return F.when(n > 0, F.array_join(drawn, "")).otherwise(F.lit(""))
+
+
 def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
@@ -107,14 +117,14 @@ def _name(canon: Column, gender: Column, h: Column, attempt: Column, key: str) -
                             F.when(two, F.lit(0)).otherwise(attempt).cast("string")), 256)
     out = None
     for script in ("cyrillic", "latin"):
-        parts = [_word(SYLLABLES[script], _byte(fh, F.lit(i))) for i in range(4)]
-        last = F.initcap(F.concat(*parts[:3], F.when(attempt > 8, parts[3]).otherwise(F.lit(""))))
+        parts = [_word(SYLLABLES[script], _byte(fh, F.lit(i))) for i in range(3)]
         first = F.when(gender == "f", _word(GIVEN["f", script], _byte(h, F.lit(1)))).otherwise(
             _word(GIVEN["m", script], _byte(h, F.lit(1))))
-        # late attempts get a second given name, so that names never run out
-        more = F.when(attempt > 4, F.concat(F.lit("-"), F.when(gender == "f", _word(GIVEN["f", script], _byte(h, F.lit(2))))
-                                            .otherwise(_word(GIVEN["m", script], _byte(h, F.lit(2)))))).otherwise(F.lit(""))
-        name = F.when(two, F.concat(first, more, F.lit(" "), last)).otherwise(last)
+        # a family keeps its name: redrawn members get a longer given name
+        more = _appended(SYLLABLES[script], h, attempt)
+        last = F.initcap(F.concat(*parts))
+        name = F.when(two, F.concat(first, F.when(attempt > 0, F.lit("-")).otherwise(F.lit("")), more, F.lit(" "), last)
+                      ).otherwise(F.concat(last, more))
         out = name if out is None else F.when(canon.rlike(r"\p{IsCyrillic}"), out).otherwise(name)
     return out
 
@@ -122,16 +132,18 @@ def _name(canon: Column, gender: Column, h: Column, attempt: Column, key: str) -
 def stand_in(kind: Column, canon: Column, gender: Column, attempt: Column, key: str) -> Column:
     """Keyed stand-in for a canonical form."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
+    letters, digits = (_appended(list(x), h, F.greatest(attempt - LONGER, F.lit(0))) for x in (LOWER, DIGITS))
     domain = F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     dh = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_redrawn(F.substring_index(canon, "@", 1), h), F.lit("@"), _redrawn(host, dh), top)
-    phone = F.concat(F.substring(canon, 1, 1), _redrawn(F.substring(canon, F.lit(2), F.length(canon)), h))
-    iban = F.concat(F.substring(canon, 1, 2), _redrawn(F.substring(canon, F.lit(3), F.length(canon)), h))
+    email = F.concat(_redrawn(F.substring_index(canon, "@", 1), h), letters, F.lit("@"), _redrawn(host, dh), top)
+    phone = F.concat(F.substring(canon, 1, 1), _redrawn(F.substring(canon, F.lit(2), F.length(canon)), h), digits)
+    iban = F.concat(F.substring(canon, 1, 2), _redrawn(F.substring(canon, F.lit(3), F.length(canon)), h), digits)
     ipv4 = F.concat_ws(".", *[(_byte(h, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     return (F.when(kind == "email", email).when(kind == "token", _redrawn(canon, h, HEX))
-            .when(kind == "phone", phone).when(kind == "card", _card(canon, h)).when(kind == "ssn", _redrawn(canon, h))
+            .when(kind == "phone", phone).when(kind == "card", F.concat(_card(canon, h), digits))
+            .when(kind == "ssn", F.concat(_redrawn(canon, h), digits))
             .when(kind == "iban", iban).when(kind == "ipv4", ipv4)
             .otherwise(F.lower(_name(canon, gender, h, attempt, key))))
 
@@ -162,10 +174,12 @@ def laid_out(kind: Column, raw: Column, sur: Column) -> Column:
                      F.array_repeat(places, F.length(raw)).alias("p")),
         lambda x, i: F.when(x["c"].rlike("[0-9A-Za-z]"), F.substring(x["s"], F.array_position(x["p"], i).cast("int"), F.lit(1)))
         .otherwise(x["c"])), "")
+    # what a grown stand-in has beyond the mention's places
+    spaced = F.concat(spaced, F.substring(sur, F.size(places) + 1, F.length(sur)))
     cased = F.when(raw == F.upper(raw), F.upper(sur))
     return (F.when(kind.isin("phone", "card", "ssn"), spaced).when(kind == "iban", F.upper(spaced))
             .when(kind.isin("email", "token"), cased.otherwise(sur)).when(kind == "ipv4", sur)
-            .otherwise(cased.otherwise(F.initcap(F.regexp_replace(sur, "-", "- "))).substr(F.lit(1), F.lit(200))))
+            .otherwise(cased.otherwise(F.replace(F.initcap(F.replace(sur, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-")))))
 
 
 def entity_table(mentions: DataFrame, key: str) -> DataFrame:

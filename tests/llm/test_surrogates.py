@@ -46,6 +46,19 @@ def test_stand_ins_are_distinct_and_never_real(spark):
     assert not {r.sur.lower() for r in got} & {r[1].lower() for r in rows}
 
 
+def test_stand_ins_never_run_out(spark):
+    """One family, formats that hold few values, and an address nothing can redraw."""
+    rows = [("name", f"{chr(65 + i % 26)}{chr(97 + i // 26)}x Smith", None) for i in range(400)]
+    rows += [("phone", f"+1 {i:02d} {j:02d}", None) for i in range(10, 40) for j in range(10, 40)]
+    rows += [("email", x, None) for x in ("-@-.b", "_@-.b")]
+    m = spark.createDataFrame([(*r, 0) for r in rows], "kind string, raw string, gender string, pos int")
+    got = s.entity_table(m, "k").collect()
+    digits = lambda k, x: re.sub("[^0-9]", "", x) if k == "phone" else x.lower()
+    sur = {(r.kind, digits(r.kind, r.sur)) for r in got}
+    assert len(got) == len(sur) == len(rows) and not sur & {(k, digits(k, x)) for k, x, _ in rows}
+    assert len({r.sur.split(" ", 1)[1] for r in got if r.kind == "name"}) == 1
+
+
 def test_keyed_and_empty(spark, empty):
     docs = spark.createDataFrame(TEXT[:2], "doc_id long, text string")
     a, b, c = (sorted(r.text for r in s.pseudonymise(docs, k).collect()) for k in ("k", "k", "other"))
