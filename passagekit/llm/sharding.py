@@ -9,8 +9,10 @@ to their cells, and permuted again inside the cell. Shard sizes are exact
 (equal counts, at most one apart) and every assignment is equally likely up to
 the generator.
 
-A shard consists of cells of about ``cell_rows`` rows, so neither permutation
-holds a shard in one task. The assignment depends on the written part and the
+A shard consists of cells, of about ``cell_rows`` rows while that makes at most
+``MAX_CELLS`` cells in all, larger ones (sorted on disk) beyond: the column sums
+that every task gets stay below half a megabyte, and neither permutation holds a
+shard in one task. The assignment depends on the written part and the
 row's place in it, so a lost executor's rows are dealt again in the same way.
 
 Defined results: nulls in any column are carried along (a null text has size 1,
@@ -33,6 +35,7 @@ from .common import documents
 
 SHARDS = 8
 CELL_ROWS = 1 << 10
+MAX_CELLS = 1 << 16          # cells of all shards: bounds the broadcast and each task's draws
 PART_ROWS = 100_000          # rows of a written part: bounds the local permutation
 OUT = ["law", "shard", "slot", "grown_shard"]
 
@@ -97,7 +100,7 @@ def shard_rows(docs: DataFrame, n_shards: int = SHARDS, seed: int = 0, cell_rows
     files = sorted((r[0], r[1]) for r in rows.groupBy("part").agg(F.count(F.lit(1))).collect())
     n = sum(c for _, c in files)
     sizes = balanced(n, n_shards)
-    per = max(1, -(-int(sizes.max()) // cell_rows))
+    per = max(1, min(-(-int(sizes.max()) // cell_rows), MAX_CELLS // n_shards))
     cells = np.concatenate([balanced(int(s), per) for s in sizes])
     shared = spark.sparkContext.broadcast(({f: i for i, (f, _) in enumerate(files)},
                                            np.array([c for _, c in files], np.int64), cells, seed))

@@ -18,7 +18,8 @@ def test_matrix_has_exact_sums_and_uniform_cells():
 
 def test_shards_are_exact_gapless_and_keep_rows(spark, wide, monkeypatch):
     monkeypatch.setattr(sharding, "PART_ROWS", 7)
-    for rows in (wide, wide.where("doc_id = 3"), wide.where("false")):
+    for rows, most in ((wide, 1 << 16), (wide, 8), (wide.where("doc_id = 3"), 16), (wide.where("false"), 16)):
+        monkeypatch.setattr(sharding, "MAX_CELLS", most)
         out = sharding.shard_rows(rows, 8, cell_rows=2)
         n = rows.count()
         got = out.groupBy("shard").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("slot")).alias("s")).collect()
