@@ -25,6 +25,7 @@ copies; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import xxhash
@@ -37,6 +38,7 @@ SHINGLE = 3
 RADIUS = 3
 TREE = 1024                  # nodes of a tree
 SHARD = 64                   # aimed-at fingerprints of a shard
+TASK_ROWS = 16_384           # shard rows aimed at per search task
 _PASS = 1 << 16              # shingles counted at once
 
 
@@ -185,7 +187,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame
     side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
     part = F.least("x", "y") * F.col("n") + F.greatest("x", "y")
     rows = rows.select("unit", part.cast("long").alias("part"), "fp", side.cast("int").alias("side"))
-    rows = rows.repartition("unit", "part").sortWithinPartitions("unit", "part", "fp")
+    # by rows, not bytes: searching costs far more than its few bytes suggest
+    keys = math.comb(radius + exact, exact)
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-n * keys // TASK_ROWS))
+    rows = rows.repartition(tasks, "unit", "part").sortWithinPartitions("unit", "part", "fp")
     return arrow_map(rows, _units(radius), "a long, b long")
 
 
