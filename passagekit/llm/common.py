@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from ..session import scratch_path, ship_package, table
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-__all__ = ["SPACES", "WORD", "staged", "documents", "arrow_map", "whole_groups", "bits_of", "has_bits", "connected_components", "table"]
+__all__ = ["SPACES", "WORD", "staged", "documents", "arrow_map", "whole_groups", "bits_of", "has_bits", "connected_components", "in_sample", "table"]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +81,15 @@ def whole_groups(batches, cols: list[str], n_keys: int):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def in_sample(ids: DataFrame, col: str, sample: int) -> Column:
+    """Condition that holds for about ``2 * sample`` distinct values of ``col``,
+    those with the smallest hash (for all values if there are no more): what is
+    left to sort for the first ``sample`` doesn't grow with the table."""
+    n = ids.agg(F.approx_count_distinct(col)).first()[0]
+    share = min(1.0, 2 * sample / max(n, 1))
+    return F.xxhash64(col) <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 # ---- fixed-size key filters -------------------------------------------------
 
 FILTER_BITS = 1 << 26        # 8 MB whatever the input: the proven broadcast bound

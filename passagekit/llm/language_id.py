@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, staged, table
+from .common import arrow_map, documents, in_sample, staged, table
 
 SAMPLE = 4000
 BUCKETS = 1 << 16            # hashed trigrams of a model
@@ -55,7 +55,8 @@ def trigrams(text: str) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram log probabilities (languages x buckets)."""
     rows = docs.where(F.col("doc_id").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = staged(rows.select("doc_id"), "ids")
+    picked = ids.where(in_sample(ids, "doc_id", sample)).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` ids are broadcast; only their texts move
     rows = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import SPACES, documents, table
+from .common import SPACES, documents, in_sample, table
 
 SAMPLE = 20_000
 MIN_PRECISION = 0.9
@@ -173,8 +173,8 @@ def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, seed: int = 0,
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """Features and target (True: reject) of at most ``sample`` labelled documents."""
-    picked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-              .groupBy("doc_id").agg(F.min("quality").alias("q"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    picked = (usable.where(in_sample(usable, "doc_id", sample)).groupBy("doc_id").agg(F.min("quality").alias("q"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "s")
     rows = rows.select("doc_id", "q", *[f(F.col("s")).cast("double").alias(n) for n, f in FEATURES.items()])
