@@ -61,9 +61,23 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_SCRATCH: set = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for one job's output."""
-    return f"{shared_dir(spark)}/passagekit/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder for one job's output.
+
+    Results are read back lazily, so a path lives as long as its application:
+    the application's own folder is removed when the driver process ends.
+    """
+    base = f"{shared_dir(spark)}/passagekit/{spark.sparkContext.applicationId}"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
