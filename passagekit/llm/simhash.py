@@ -59,14 +59,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (fp as signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: list[str] | None = None) -> DataFrame:
+    """``doc_id, fp`` (fp as signed long) and the long columns ``also``."""
+    also = also or []
+
     def run(batches):
         for b in batches:
             fp = [fingerprint(t, shingle) for t in b.column("text").cast("binary").to_pylist()]
-            yield {"doc_id": b.column("doc_id"), "fp": np.array(fp, np.uint64).astype(np.int64)}
+            yield {"doc_id": b.column("doc_id"), "fp": np.array(fp, np.uint64).astype(np.int64), **{c: b.column(c) for c in also}}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also), run,
+                     ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 class BKTree:
@@ -189,25 +192,37 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame
     return arrow_map(rows, _units(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` (smallest id reachable), one row per input row."""
-    fps = staged(fingerprints(docs, shingle), "fingerprints")
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """Rows of ``fps`` with ``root`` (names the component, also where no row has
+    an id) and ``component_id``."""
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     comp = staged(connected_components(links(nodes, radius), "a", "b"), "components")
     low = staged(comp.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("cid")), "low")
-    linked = comp.join(low, "root").select(F.col("node").alias("fp"), "cid")
-    ids = staged(nodes.join(linked, "fp", "left").select("fp", F.coalesce("cid", "low").alias("component_id")), "ids")
-    return fps.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    linked = comp.join(low, "root").select(F.col("node").alias("fp"), "root", "cid")
+    ids = staged(nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"),
+                                                         F.coalesce("cid", "low").alias("component_id")), "ids")
+    return fps.join(ids, "fp", "left")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fp, component_id`` (smallest id reachable), one row per input row."""
+    return _grouped(staged(fingerprints(docs, shingle), "fingerprints"), radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document per group: the one with the group's smallest
-    id; rows that repeat an id count as one document. Rows without an id cannot
-    be told apart and stay."""
-    groups = simhash_groups(docs, shingle, radius)
-    keep = staged(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "keep")
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one row per group: of the rows with the group's smallest id
+    the one whose text has the smallest digest. Rows that share an id but not a
+    group are told apart by their text. Of a group's rows without an id one
+    stays besides."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    fps = staged(fingerprints(rows, shingle, ["th"]), "fingerprints")
+    first = _grouped(fps, radius).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    keep = staged(first.groupBy("root", "doc_id").agg(F.min("th").alias("t"))
+                  .select(F.col("doc_id").alias("id"), "t").distinct(), "keep")
+    one = rows.select("row", "doc_id", "th").join(
+        keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")), "left_semi")
+    return one.dropDuplicates(["doc_id", "th"]).select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
