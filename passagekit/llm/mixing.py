@@ -12,7 +12,10 @@ aggregates instead of a sort of the leaf: tokens per hash bucket locate the
 bucket where the budget ends, and only that bucket's rows are ranked. A leaf
 with a third of all rows is therefore never in one task.
 
-Defined results: null and empty texts hold 0 tokens; null domain, language or
+Defined results: null and empty texts hold 0 tokens, and rows of 0 tokens that
+come first in the order fit into any rest, so the plan may count one pass more
+for them than ``max_epochs`` (:func:`mix` takes them ``max_epochs`` times), and
+one pass for a leaf without tokens; null domain, language or
 source counts as the empty name; rows that repeat an id (or lack one) share a
 place in the order and are taken together or not at all; an empty table gives
 an empty result; extra columns pass through.
@@ -119,15 +122,18 @@ def plan_mixture(docs: DataFrame, domain: Column, total_share: float = 1.0, max_
             .withColumn("upto", F.col("before") + run).where(F.col("upto") <= F.col("rest"))
             .groupBy(*LEVELS).agg(F.max("h").alias("last")))
     cut = staged(leaves.join(edge, LEVELS, "left").join(last, LEVELS, "left"), "cut")
+    # without an edge the leaf holds no tokens: the extra pass takes all of it
     taken = ((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.col("h") <= F.col("last"))))
     return (rows.join(put(cut), LEVELS).withColumn("h", key).withColumn("bucket", F.substring("h", 1, BUCKETS))
-            .withColumn("copies", F.col("passes").cast("int") + F.coalesce(taken, F.lit(False)).cast("int"))
+            .withColumn("copies", F.col("passes").cast("int") + (F.col("edge").isNull() | F.coalesce(taken, F.lit(False))).cast("int"))
             .select("row", *LEVELS, "tokens", "budget", "copies"))
 
 
-def mix(docs: DataFrame, domain: Column, **options) -> DataFrame:
-    """The mixture: rows of ``docs``, once per epoch that takes them."""
-    plan = plan_mixture(docs, domain, **options).where("copies > 0")
+def mix(docs: DataFrame, domain: Column, max_epochs: int = MAX_EPOCHS, **options) -> DataFrame:
+    """The mixture: rows of ``docs``, once per epoch that takes them, and in
+    ``max_epochs`` epochs at most."""
+    plan = plan_mixture(docs, domain, max_epochs=max_epochs, **options)
+    plan = plan.withColumn("copies", F.least("copies", F.lit(max_epochs))).where("copies > 0")
     return plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("row.*")
 
 

@@ -87,3 +87,20 @@ def test_mixture_takes_prefixes_within_budget(spark, wide, empty):
     assert out.columns == wide.columns
     assert mixing.mix(empty, mixing.domain_of(F.col("source"))).collect() == []
     assert "MapInArrow" not in plan._jdf.queryExecution().toString() and "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_leaves_without_tokens_and_leaves_bought_out(spark):
+    """A leaf of empty texts and a leaf bought out whole: the plan equals the SQL,
+    and the mixture takes no row more than ``max_epochs`` times."""
+    import duckdb
+    rows = [(i, ["", None, " \n"][i % 3], "en", "src0") for i in range(6)]
+    rows += [(i, "" if i % 2 else "three words here", "de", "src1") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    cols = ["doc_id", *mixing.LEVELS, "tokens", "budget", "copies"]
+    domain = mixing.domain_of(F.col("source"))
+    plan = mixing.plan_mixture(docs, domain).select("row.doc_id", *cols[1:])
+    assert sorted(map(tuple, plan.collect())) == sorted(db.execute(f"SELECT {', '.join(cols)} FROM ({mixing.ORACLE})").fetchall())
+    out = [r.doc_id for r in mixing.mix(docs, domain, total_share=1.0, max_epochs=1).collect()]
+    assert sorted(out) == [r[0] for r in rows]
