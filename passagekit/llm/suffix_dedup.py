@@ -9,7 +9,9 @@ in one shard. Runs that are equal as a whole collapse to one representative
 first; only representatives that share an anchor with a different run need
 sorting. Their bytes are laid one after the other in shards of about
 ``SHARD_BYTES``, and each shard's suffixes are sorted by external induced sorting
-(:mod:`.induced`). Windows that share ``width`` bytes of prefix with a neighbour
+(:mod:`.induced`). Shards are sized to fit in memory: at ``SHARD_BYTES`` the
+queues and the text practically never reach the disk, which is a fallback, and
+the sort holds several arrays of a whole shard. Windows that share ``width`` bytes of prefix with a neighbour
 in suffix order are repeats; the common prefix is compared by 128-bit digests.
 An anchor with more than ``CONTEXTS`` different runs (a passage in very many
 surroundings) would make one shard grow with the data: its windows are counted
