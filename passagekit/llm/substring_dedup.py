@@ -1,15 +1,16 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by winnowed anchors and window digests.
 
 A window is ``width`` consecutive words of one document. Each word covered by a
 window whose word sequence also starts in a document with a smaller id is
 removed; windows are judged on the input.
 
-Seeds are winnowed anchors (:mod:`.anchors`). Runs of windows on one anchor are
-joined across documents: equal runs extend over their whole length at once (one
-digest), the others are extended to both sides of the anchor window by window,
-each extension matched by a 128-bit digest to the smallest document that holds
-it. Put together, adjacent windows form the maximal repeats of at least
-``width`` words.
+Seeds are winnowed anchors (:mod:`.anchors`); they choose the windows to compare.
+Equal runs of windows on one anchor are matched whole (one digest). Where an
+anchor has several different runs, documents are not joined on it and no match
+is extended step by step: every window of each run's smallest holder is hashed
+and grouped by its 128-bit digest over the corpus, so that a hot anchor makes no
+pairs and its windows spread over the tasks. Put together, adjacent windows form
+the maximal repeats of at least ``width`` words.
 
 Defined results: a null text has no words; a null id counts as larger than any
 id (such rows lose words to others, never to each other); rows repeated with
@@ -98,7 +99,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR_WORDS) ->
     held = staged(runs.join(groups, run), "held")
     whole = (held.where(F.col("did") > F.col("first"))
              .select("did", "th", F.col("s").alias("b"), (F.col("s") + F.col("c") + (width - 1)).alias("e")))
-    # the smallest holder of a run is extended against the anchor's other runs
+    # windows of the smallest holder of a run, against those of the anchor's other runs
     keys = held.where(F.col("did") == F.col("first")).join(several, "a", "left_semi").select("key")
     windows = staged(windows_of(texts, _read, width, k, keys), "windows")
     first = staged(windows.groupBy("w1", "w2").agg(F.min("did").alias("first"), F.max("did").alias("last"))
