@@ -30,15 +30,17 @@ from .common import documents, staged
 # Fixed formats of the entity types, in the order in which they are tried.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
-    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])"
-             r"|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "card": r"(?<![A-Za-z0-9])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![A-Za-z0-9])",
+             r"|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
+             r"|(?<![A-Za-z0-9+.\-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![A-Za-z0-9]|[.\-][0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?:[ \-]?[0-9]{3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}"
+            r"|[0-9]{4}(?:[ \-][0-9]{3}){3}|[0-9]{13,19})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
 }
-_NAME = r"\p{Lu}[\p{L}'\-]{1,40}(?: \p{Lu}[\p{L}'\-]{1,40})?"
+_NAME = r"\p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)*+"
 MALE = r"(?<=(?<![\p{L}])(?:Mr|Herr|Monsieur|Sr|Señor)\.? )(" + _NAME + ")"
 FEMALE = r"(?<=(?<![\p{L}])(?:Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora)\.? )(" + _NAME + ")"
 PATTERN = "|".join([*FORMATS.values(), MALE, FEMALE])
@@ -102,17 +104,19 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(canon: Column, h: Column) -> Column:
-    """Same first digit; the last digit keeps a valid number valid."""
-    body = F.concat(F.substring(canon, 1, 1), F.substring(_redrawn(canon, h), 2, 14))
+    """Same length and first digit; the last digit keeps a valid number valid."""
+    body = F.concat(F.substring(canon, 1, 1), F.substring(_redrawn(canon, h), F.lit(2), F.length(canon) - 2))
     check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     return F.concat(body, F.when(luhn_sum(canon) % 10 == 0, check).otherwise(_pick(DIGITS, _byte(h, F.lit(20)))))
 
 
 def _name(canon: Column, gender: Column, h: Column, attempt: Column, key: str) -> Column:
-    """Given name of the gender (if there is one) and a family name, in the
-    script of the original. Family names are keyed by themselves."""
+    """Given names of the gender (one for each word before the last) and a
+    family name, in the script of the original. Family names are keyed by
+    themselves."""
     family = F.element_at(F.split(canon, " "), -1)
-    two = F.size(F.split(canon, " ")) > 1
+    words = F.size(F.split(canon, " "))
+    two = words > 1
     fh = F.sha2(F.concat_ws("|", F.lit(key), F.lit("family"), family,
                             F.when(two, F.lit(0)).otherwise(attempt).cast("string")), 256)
     out = None
@@ -123,7 +127,9 @@ def _name(canon: Column, gender: Column, h: Column, attempt: Column, key: str) -
         # a family keeps its name: redrawn members get a longer given name
         more = _appended(SYLLABLES[script], h, attempt)
         last = F.initcap(F.concat(*parts))
-        name = F.when(two, F.concat(first, F.when(attempt > 0, F.lit("-")).otherwise(F.lit("")), more, F.lit(" "), last)
+        middle = F.when(gender == "f", _appended([" " + x for x in GIVEN["f", script]], h, words - 2)).otherwise(
+            _appended([" " + x for x in GIVEN["m", script]], h, words - 2))
+        name = F.when(two, F.concat(first, F.when(attempt > 0, F.lit("-")).otherwise(F.lit("")), more, middle, F.lit(" "), last)
                       ).otherwise(F.concat(last, more))
         out = name if out is None else F.when(canon.rlike(r"\p{IsCyrillic}"), out).otherwise(name)
     return out

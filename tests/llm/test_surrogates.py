@@ -79,3 +79,28 @@ def test_hint_is_in_every_entity(spark):
                            "Señora Álvarez", "Mme Duval", "DE89 3704 0044 0532", "123-45-6789"]]
     out = spark.createDataFrame(rows, "t string").select(F.col("t").rlike(s.PATTERN).alias("p"), F.col("t").rlike(s.HINT).alias("h")).collect()
     assert whole and all(r.h for r in out if r.p) and sum(r.p for r in out) >= 8
+
+
+def test_other_layouts_go_whole(spark):
+    """Long secrets, national telephone numbers, cards of 13 to 19 digits, names of many words."""
+    valid = lambda x: sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(x))) % 10 == 0
+    cards = ["378282246310005", "3782 822463 10005", "4222222222222", "6304000000000000000", "6304 0000 0000 0000 000", "30569309025904"]
+    phones = ["555-123-4567", "555.123.4567", "555 123 4567"]
+    names = ["John Adam Baker Smith", "Karl Maximilian" + "x" * 60]
+    secret = "0123456789abcdef" * 20
+    rows = [(i, f"a {x} b") for i, x in enumerate([secret, *phones, *cards])] + [(50 + i, f"Mr. {x}, b") for i, x in enumerate(names)]
+    rows += [(90, "on 2024-10-11 1.2.3 555-12 12345 123456789012 units"), (91, "Mr. " + "Aa " * 20_000)]
+    out = {r.doc_id: r for r in s.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    got = [out[i].text[2:-2] for i in range(1 + len(phones) + len(cards))]
+    assert re.fullmatch("[0-9a-f]{320}", got[0]) and got[0] != secret
+    assert len(set(got[1:4])) == 3 and len({re.sub("[^0-9]", "", x) for x in got[1:4]}) == 1
+    for old, new in zip([*phones, *cards], got[1:], strict=True):
+        assert old != new and re.sub("[0-9]", "0", old) == re.sub("[0-9]", "0", new), (old, new)
+    assert got[4] == got[5].replace(" ", "") and got[7] == got[8].replace(" ", "")
+    for old, new in zip(cards, got[4:], strict=True):
+        assert valid(re.sub("[^0-9]", "", old)) == valid(re.sub("[^0-9]", "", new))
+    for i, name in enumerate(names):
+        new = re.fullmatch(r"Mr\. (.*), b", out[50 + i].text)[1]
+        assert len(new.split()) == len(name.split()) and not set(new.split()) & set(name.split())
+    assert (out[90].text, out[90].n_entities) == (rows[-2][1], 0)
+    assert out[91].n_entities == 1 and "Aa" not in out[91].text
