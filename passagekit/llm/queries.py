@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontamination, language_id, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, surrogates, warc,
+    decontamination, hard_negatives, language_id, mixing, packing, quality_rules, sharding, simhash, substring_dedup,
+    suffix_dedup, surrogates, warc, whitening,
 )
 
 QUERIES = {
@@ -17,10 +18,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_surrogates": surrogates.op10_surrogates,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_packing": packing.op13_packing,
 }
 ORACLE_SQL = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
