@@ -13,7 +13,9 @@ start inside it and reads the last one to its end. A candidate is a record only
 if its gzip header decodes and the data starts with a WARC header; a false magic
 inside compressed data is joined back to the member it belongs to. If that
 member lies across a range's border, the two pieces meet in a second step over
-such leftovers only.
+such leftovers only. At the start of a range, a candidate whose header decodes
+but has given no data yet stays tentative: if a later piece does not continue it,
+or a record follows, it was a false magic and its pieces are leftovers too.
 
 Defined results: null html is an empty payload, a null url leaves the field
 out, a null page id comes back as null; repeated rows of the response's id are
@@ -112,6 +114,18 @@ class _Member:
     def done(self) -> bool:
         return self.decoder.eof
 
+    @property
+    def confirmed(self) -> bool:
+        return self.data[:5] == b"WARC/"
+
+    def continued(self, raw: bytes) -> bool:
+        """Adds ``raw``, unless that shows that this was no record."""
+        try:
+            self.add(raw)
+        except zlib.error:
+            return False
+        return self.confirmed or (not self.done and b"WARC/".startswith(self.data[:5]))
+
 
 def candidate(raw: bytes) -> _Member | None:
     """The member that starts with ``raw``, if it can be a WARC record's."""
@@ -119,7 +133,7 @@ def candidate(raw: bytes) -> _Member | None:
         m = _Member(raw)
     except zlib.error:
         return None
-    return m if m.data[:5] == b"WARC/" or (not m.done and b"WARC/".startswith(m.data[:5])) else None
+    return m if m.confirmed or (not m.done and b"WARC/".startswith(m.data[:5])) else None
 
 
 def _records(rows: list[dict]) -> dict:
@@ -130,43 +144,54 @@ def _records(rows: list[dict]) -> dict:
 def _scan(batches):
     """Records that end in their own range, and the leftovers at its borders
     (``kind`` 1: a member not yet ended, 2: pieces before the first record)."""
-    place, open_, leading, seq = None, None, False, 0
+    place, open_, tentative, leading, seq = None, None, [], False, 0
 
-    def left(kind, raw):
-        return {"kind": kind, "file": place[0], "range": place[1], "seq": seq, "raw": raw}
+    def left(kind, raw, at=0):
+        return {"kind": kind, "file": place[0], "range": place[1], "seq": at, "raw": raw}
+
+    def end_of_range():
+        if tentative:
+            return [left(2, raw, at) for at, raw in tentative]
+        return [left(1, b"".join(open_.raw))] if open_ and not open_.done else []
 
     for b in batches:
         rows = []
         for f, start, chunk in zip(*(b.column(c).to_pylist() for c in ("file", "start", "chunk")), strict=True):
             if (f, start) != place:
-                if open_ and not open_.done:
-                    rows.append(left(1, b"".join(open_.raw)))
-                place, open_, leading, seq = (f, start), None, True, 0
+                rows += end_of_range()
+                place, open_, tentative, leading, seq = (f, start), None, [], True, 0
                 if start == 0:
                     leading = False
                     if chunk == b"":
                         continue                               # what stands before a file's first magic
             raw, seq = MAGIC + chunk, seq + 1
-            if open_ and not open_.done:
+            if tentative:
                 fresh = candidate(raw)
-                if fresh is None or fresh.data[:5] != b"WARC/":
-                    open_.add(raw)
+                if (fresh is not None and fresh.confirmed) or not open_.continued(raw):
+                    rows += [left(2, t, at) for at, t in tentative]
+                    open_, tentative = None, []
                 else:
-                    raise ValueError(f"truncated record in {f}")
-            elif (fresh := candidate(raw)) is not None:
-                open_, leading = fresh, False
-            elif leading:
-                rows.append(left(2, raw))
-                continue
-            else:
-                continue                                       # padding between records
+                    tentative.append((seq, raw))
+            elif open_ and not open_.done:
+                if not open_.continued(raw):
+                    raise ValueError(f"damaged record in {f}")
+                fresh = None
+            if open_ is None or (open_.done and not open_.data):
+                open_ = candidate(raw)
+                if open_ is None:
+                    if leading:
+                        rows.append(left(2, raw, seq))         # else padding between records
+                    continue
+                tentative = [(seq, raw)] if leading and not open_.confirmed else []
+            if open_.confirmed:
+                leading, tentative = False, []
             if open_.done and open_.data:
                 rows.append({"kind": 0} | parse(open_.data))
                 open_.data = b""
         if rows:
             yield _columns(rows)
-    if open_ and not open_.done:
-        yield _columns([left(1, b"".join(open_.raw))])
+    if rows := end_of_range():
+        yield _columns(rows)
 
 
 def _columns(rows):
@@ -174,19 +199,24 @@ def _columns(rows):
 
 
 def _join_borders(batches):
-    """Leftovers of a file in order: a member and the pieces that complete it."""
+    """Leftovers of a file in order: a member and the pieces that complete it. A
+    piece that no member waits for may start one itself."""
     place, open_ = None, None
     for b in batches:
         rows = []
         for f, kind, raw in zip(*(b.column(c).to_pylist() for c in ("file", "kind", "raw")), strict=True):
             if f != place:
                 place, open_ = f, None
-            if kind == 1 and (open_ is None or open_.done):
+            waits = open_ is not None and not open_.done
+            if waits and open_.confirmed and (kind == 1 or not open_.continued(raw)):
+                raise ValueError(f"damaged record in {f}")
+            if kind == 1:
                 open_ = _Member(raw)
-            elif open_ is not None and not open_.done:
-                open_.add(raw)
-                if open_.done:
-                    rows.append(parse(open_.data))
+            elif not (waits and (open_.confirmed or open_.continued(raw))):
+                open_ = candidate(raw)
+            if open_ is not None and open_.done and open_.data:
+                rows.append(parse(open_.data))
+                open_.data = b""
         if rows:
             yield _records(rows)
 

@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from passagekit.llm import warc
@@ -87,6 +88,59 @@ def test_false_magic_inside_a_member_and_across_a_border():
     assert done[0]["page_id"] == [5] and done[0]["payload_digest"] == [digest]
 
 
+def in_ranges(ranges):
+    """Page ids that the two steps of the reader find in pieces dealt by range."""
+    def batch(rows, names):
+        return pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
+
+    found, rest = [], []
+    for start, pieces in ranges:
+        rows = [("f", start, x) for x in ([b""] if start == 0 else []) + pieces]
+        for cols in warc._scan(iter([batch(rows, ["file", "start", "chunk"])])):
+            for i, kind in enumerate(cols["kind"]):
+                if kind == 0:
+                    found.append(cols["page_id"][i])
+                else:
+                    rest.append((cols["file"][i], cols["range"][i], -kind, cols["seq"][i], cols["raw"][i]))
+    rest = [(r[0], -r[2], r[4]) for r in sorted(rest, key=lambda r: r[:4])]
+    for cols in warc._join_borders(iter([batch(rest, ["file", "kind", "raw"])])) if rest else []:
+        found += cols["page_id"]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("false", [b"\x04\x00\x00\x00\x00\x00\x03\xff\xff" + b"z" * 60,     # an extra field that does not end
+                                   b"\x08\x00\x00\x00\x00\x00\x03" + b"n" * 60,               # a name that does not end
+                                   b"\x00\x00"])                                               # less than a header
+def test_false_magic_with_a_decodable_header_at_the_start_of_a_range(false):
+    def stored(page, payload):
+        c = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return c.compress(warc.record(page, "u", "response", None, hashlib.sha1(payload).hexdigest(), payload)) + c.flush()
+
+    first = stored(1, b"x" * 900 + warc.MAGIC + false + b"q" * 30)
+    a, b = first.split(warc.MAGIC)[1:]
+    c, d = (stored(i, b"p" * 400)[3:] for i in (2, 3))
+    want = [1, 2, 3]
+    assert in_ranges([(0, [a, b, c, d])]) == want
+    assert in_ranges([(0, [a]), (900, [b, c, d])]) == want           # the next record in the same range
+    assert in_ranges([(0, [a]), (900, [b]), (1800, [c, d])]) == want  # and beyond it
+    assert in_ranges([(0, [a]), (900, [b, c]), (1800, [d])]) == want
+    assert in_ranges([(0, [d]), (900, [a]), (1800, [b]), (2700, [c])]) == want
+
+
+def test_archive_inside_a_payload():
+    inner = warc.member(warc.record(9, "u", "response", None, hashlib.sha1(b"n").hexdigest(), b"n"))
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    payload = b"x" * 50 + inner + b"y" * 50
+    raw = c.compress(warc.record(1, "u", "response", None, hashlib.sha1(payload).hexdigest(), payload)) + c.flush()
+    assert in_ranges([(0, raw.split(warc.MAGIC)[1:])]) == [1]
+
+
+def test_damaged_archive_is_an_error():
+    raw = warc.member(warc.record(1, "u", "response", None, hashlib.sha1(b"ab" * 500).hexdigest(), b"ab" * 500))
+    with pytest.raises(ValueError):
+        in_ranges([(0, [raw[3:60], raw[3:]])])
+
+
 def test_empty(spark):
     path = scratch_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], PAGES), path)
