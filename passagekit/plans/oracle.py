@@ -185,7 +185,7 @@ _vsl AS (
   SELECT id, shard, (id - CASE WHEN shard < r THEN shard * (q + 1) ELSE r * (q + 1) + (shard - r) * q END)::BIGINT AS local_id
   FROM _vs)"""
 
-_KNN = """WITH q AS (SELECT vec_id AS prompt_id, embedding AS qv FROM embeddings WHERE vec_id % 25 = 0),
+_KNN = """WITH q AS (SELECT vec_id AS prompt_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT q.prompt_id, e.vec_id AS id,
         round(list_reduce(list_transform(list_zip(q.qv, e.embedding),
               lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)), lambda a, b: a + b), 6) + 0.0 AS dist
@@ -284,8 +284,10 @@ WHERE position < 100"""),
 FROM _mc m JOIN (SELECT prompt_id, choice, string_agg(o, '(o) ' ORDER BY md5('0:' || prompt_id::VARCHAR || ':' || choice::VARCHAR || ':' || i::VARCHAR)) AS others
   FROM (SELECT prompt_id, choice, unnest(list_concat(opts[1:choice], opts[choice + 2:5])) AS o, unnest(range(4)) AS i FROM _mc) GROUP BY ALL) o
   ON o.prompt_id = m.prompt_id AND o.choice = m.choice"""),
-    "knn_nan": ([], _KNN.replace("embeddings WHERE vec_id % 25 = 0", "embeddings WHERE vec_id % 25 = 0 AND vec_id % 7 <> 0").replace(
-        "FROM q CROSS JOIN embeddings e)", "FROM q CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 7 <> 0) e)")),
+    "knn_nan": ([], _KNN.replace("WITH q", """WITH bad AS (SELECT vec_id, list_transform(embedding, lambda x, i:
+  CASE WHEN vec_id % 7 = 0 AND i = 4 THEN 'nan'::FLOAT ELSE x END) AS embedding FROM embeddings), q""").replace(
+        "FROM embeddings WHERE", "FROM bad WHERE").replace("CROSS JOIN embeddings", "CROSS JOIN bad").replace(
+        "SELECT prompt_id, rank, id, dist", "SELECT prompt_id, rank, id, CASE WHEN NOT isnan(dist) THEN dist END AS dist")),
     "sink_modes": (["_pred"], """SELECT id, substring('ABCDE', (am + 1)::INTEGER, 1) AS pred,
   substring('ABCDE', (label + 1)::INTEGER, 1) AS label FROM _score"""),
     "mc_pairs": (["_mc"], """SELECT prompt_id, choice, '[CLS] ' || context AS first,

@@ -20,7 +20,7 @@ SHORT_HEADING = "= X ="                           # dropped heading
 REFERENCES_LINE = "== References =="
 DISAMBIGUATION_PREFIX = "This may refer to: "
 SHORT_LINE_MAX = 40          # lines of 1..40 chars become headings
-QUERY_EVERY = 25             # vectors with vec_id % 25 = 0 are queries
+QUERY_EVERY = 20             # vectors with vec_id % 20 = 0 are queries
 VECTORS_PER_META_FILE = 100  # metadata file of a vector = vec_id div 100
 OPTION_CHARS = 30            # option text = first 30 chars of an item
 NULL_C_EVERY = 7             # option C is null when item_id % 7 = 0
@@ -76,7 +76,7 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def vector_queries(embeddings: DataFrame) -> DataFrame:
-    """``(prompt_id, embedding)``: every 25th vector, keyed by its own id."""
+    """``(prompt_id, embedding)``: every 20th vector, keyed by its own id."""
     return (embeddings.where(F.pmod("vec_id", F.lit(QUERY_EVERY)) == 0)
             .select(F.col("vec_id").alias("prompt_id"), "embedding"))
 

@@ -1,4 +1,5 @@
-"""Every registered query against its DuckDB SQL on the smallest tables."""
+"""Every registered query of the reference's operators against its DuckDB SQL
+on the smallest tables."""
 
 import hashlib
 import json
@@ -9,6 +10,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from passagekit.plans.oracle import oracle_sql
+from passagekit.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "embeddings", "benchmark"]
@@ -33,12 +36,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = [tuple(r[c] for c in cols) for r in df.collect()]
-    rel = con.sql(E.oracle_sql()[name])
+    rel = con.sql(oracle_sql()[name])
     assert sorted(rel.columns) == cols
     idx = [rel.columns.index(c) for c in cols]
     exp = [tuple(r[i] for i in idx) for r in rel.fetchall()]
@@ -46,6 +49,17 @@ def test_query_matches_oracle(spark, con, name):
     assert _digest(got) == _digest(exp)
 
 
+def test_every_query_has_sql_and_is_registered():
+    assert set(oracle_sql()) <= set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(oracle_sql()) <= set(E.oracle_sql())
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    import sys
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)      # its import fails
+    assert set(E.queries()) == set(QUERIES) and set(E.oracle_sql()) == set(oracle_sql())
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["prompt_id", "prompt", "context", "A", "B", "C", "D", "E", "answer"]
