@@ -217,6 +217,7 @@ SELECT doc_id, CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body
   sum(dup)::BIGINT AS duplicated, (count(*) - sum(dup))::BIGINT AS final
 FROM (SELECT (i.id1 // 250)::INTEGER AS file, CASE WHEN c.id IS NULL THEN 1 ELSE 0 END AS dup
       FROM ids1 i LEFT JOIN corpus c ON c.id1 = i.id1) GROUP BY ROLLUP (file)"""),
+    "dedup_incremental": (["corpus"], "SELECT id, id1, file, text, first_sentence FROM corpus"),
     "reindex_ids": (["corpus"], "SELECT id, id1, file, text, first_sentence FROM corpus"),
     "sections_sharded": (["corpus"], "SELECT id, text, first_sentence, file FROM corpus"),
     "metadata_build": (["corpus"], "SELECT id, file FROM corpus"),
@@ -234,6 +235,10 @@ FROM (SELECT (i.id1 // 250)::INTEGER AS file, CASE WHEN c.id IS NULL THEN 1 ELSE
   ELSE '' END) || ' ' || 'passage: ' || text AS passage FROM corpus"""),
     "knn_flat": ([], _KNN),
     "knn_sharded": ([], _KNN),
+    "knn_pruned": ([], _KNN),
+    "knn_recall": ([], """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0)::BIGINT AS queries,
+  ((SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) * least(20, (SELECT count(*) FROM embeddings)))::BIGINT AS wanted,
+  true AS enough"""),
     "vector_shards": ([], "WITH " + _SHARDS + "\nSELECT id, shard, local_id FROM _vsl"),
     "vectors_scan": ([], """SELECT vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos,
   unnest(embedding) AS x FROM embeddings"""),

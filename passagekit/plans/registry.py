@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arith import idiv
 from ..functions.text import BGE_MODELS, passage_text, query_text, section_headers
 from ..functions.vector import l2_normalize
-from ..operators import choices, corpus, encode, evaluate, knn, retrieve
+from ..operators import cells, choices, corpus, encode, evaluate, knn, retrieve
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import readers, writers
-from . import corpus_build
+from . import corpus_build, incremental
 from .context import QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
 
 DROP_POSITIONS = [0, 7, 13, 100_000]     # three that exist and one beyond our tables
@@ -27,6 +28,8 @@ MAX_TOKENS = 64
 SHARDS = 16
 DEV_ROWS_PER_FILE = 100
 DEV_ROWS = 100
+MIN_RECALL = 0.9
+BATCHES, STORE_BUCKETS = 3, 16
 BGE_MODEL = sorted(BGE_MODELS)[0]
 
 
@@ -81,6 +84,16 @@ def q_reindex_ids(spark, d):
     return _i(spark, d).corpus.select("id", "id1", "file", "text", "first_sentence")
 
 
+def q_dedup_incremental(spark, d):
+    """The corpus taken in three batches of documents."""
+    a, path = _i(spark, d).articles, scratch_path(spark, "store")
+    store = incremental.Store(spark, path, ROWS_PER_FILE, STORE_BUCKETS)
+    third = idiv(a.select(F.max("doc_id")).scalar() + BATCHES, F.lit(BATCHES))
+    for b in range(BATCHES):
+        incremental.add_batch(store, a.where(idiv("doc_id", third) == b), b)
+    return store.sections().select("id", "id1", "file", "text", "first_sentence")
+
+
 def q_sections_sharded(spark, d):
     path = scratch_path(spark, "sections")
     writers.write_sections(_i(spark, d).corpus, path, mode="errorifexists")
@@ -139,6 +152,31 @@ def q_knn_sharded(spark, d):
     return knn.knn_sharded(fx.vector_queries(e), knn.shard_vectors(fx.vectors(e), SHARDS), RETRIEVER_K)
 
 
+def _pruned(spark, d) -> cells.PrunedSearch:
+    e = _i(spark, d).embeddings
+    index = cells.build_cell_index(fx.vectors(e), scratch_path(spark, "cells"))
+    return cells.search_cells(fx.vector_queries(e), index, RETRIEVER_K)
+
+
+def q_knn_pruned(spark, d):
+    """The flat search's answer from an index of cells."""
+    return _pruned(spark, d).hits
+
+
+def q_knn_pruned_cells(spark, d):
+    """What each query of the pruned search read."""
+    return cells.pruned_report(_pruned(spark, d))
+
+
+def q_knn_recall(spark, d):
+    """The approximate search against the exact one, over all rows."""
+    e = _i(spark, d).embeddings
+    index = cells.build_bucket_index(fx.vectors(e), scratch_path(spark, "buckets"))
+    found = cells.search_buckets(fx.vector_queries(e), index, RETRIEVER_K)
+    r = cells.recall_of(found, knn.knn(fx.vector_queries(e), fx.vectors(e), RETRIEVER_K))
+    return r.select("queries", "wanted", (F.col("recall") >= MIN_RECALL).alias("enough"))
+
+
 def q_vector_shards(spark, d):
     e = _i(spark, d).embeddings
     path = scratch_path(spark, "vectors")
@@ -344,6 +382,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sections_filtered": q_sections_filtered,
     "sections_ids": q_sections_ids,
     "dedup_exact": q_dedup_exact,
+    "dedup_incremental": q_dedup_incremental,
     "dedup_stats": q_dedup_stats,
     "reindex_ids": q_reindex_ids,
     "sections_sharded": q_sections_sharded,
@@ -356,6 +395,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "passage_text": q_passage_text,
     "knn_flat": q_knn_flat,
     "knn_sharded": q_knn_sharded,
+    "knn_pruned": q_knn_pruned,
+    "knn_pruned_cells": q_knn_pruned_cells,
+    "knn_recall": q_knn_recall,
     "vector_shards": q_vector_shards,
     "vectors_scan": q_vectors_scan,
     "shard_offsets": q_shard_offsets,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.corpus import dense_index
+from .csv_ranges import read_csv
 
 QUESTION_COLUMNS = ["prompt", "A", "B", "C", "D", "E", "answer"]
 # Strings pandas' CSV reader turns into missing values by default.
@@ -23,17 +23,13 @@ def read_questions_csv(spark: SparkSession, path: str, unlabeled: bool = False,
     """Question CSV (header, quoted multi-line fields) with ``prompt_id`` =
     row position (files in name order, rows in file order).
 
-    Every column is read as string (no inference); the NA tokens become null;
-    an ``id`` column is dropped; ``unlabeled`` data gets ``answer = 'A'``.
+    Files are read in byte ranges (:mod:`.csv_ranges`). Every column is read as
+    string (no inference); the NA tokens become null; an ``id`` column is dropped;
+    ``unlabeled`` data gets ``answer = 'A'``.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("inferSchema", False).csv(path))
-    cols = [c for c in raw.columns if c != "id"]
-    df = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in cols],
-                    F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    # multi-line CSV files are read whole by one task, so _row is increasing
-    # within a file; files are numbered by name.
-    df = dense_index(df, ["_file", "_row"], F.col("_file"), "prompt_id").drop("_file", "_row")
+    raw = read_csv(spark, path, "prompt_id")
+    cols = [c for c in raw.columns if c not in ("id", "prompt_id")]
+    df = raw.select("prompt_id", *[F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in cols])
     if unlabeled:
         df = df.withColumn("answer", F.lit("A"))
     keep = ["prompt_id"] + [c for c in (columns or QUESTION_COLUMNS) if c in df.columns]
