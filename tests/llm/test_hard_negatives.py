@@ -46,8 +46,8 @@ SORT = lambda rows: sorted(rows, key=lambda r: tuple((c is None, c or 0) for c i
 
 def test_as_brute_force_over_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(H, "MIN_TILE_ROWS", 16)
-    rows = unit(np.random.default_rng(1), 300, 12)
-    assert SORT(run(table_of(spark, rows), tile_anchors=7, tile_bytes=16 * 8 * 12)) == SORT(model(rows))
+    rows = unit(np.random.default_rng(1), 160, 12)
+    assert SORT(run(table_of(spark, rows), tile_anchors=7, tile_bytes=32 * 8 * 12)) == SORT(model(rows))
 
 
 def test_ties_repeats_nulls_and_short_vectors(spark):

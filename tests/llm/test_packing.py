@@ -72,10 +72,12 @@ def test_large_items_are_matched_best(seed):
     assert len(set(bins.tolist())) == pairs_of(items, 30)
 
 
+TOK = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+TOK.encode_special_tokens = True
+
+
 def ids_of(text):
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    return tok.encode(text or "", add_special_tokens=False).ids + [0]
+    return TOK.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 @pytest.mark.parametrize("frame", ["docs", "wide"])
