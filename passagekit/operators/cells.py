@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
-from .knn import _matrix, _rank, _tile_kernel, knn
+from .knn import _matrix, _rank, _tile_kernel, knn, tile_tasks
 
 MAX_CELLS = 4096
 PIVOTS = 32
@@ -75,11 +75,11 @@ def score_cells(asked: DataFrame, stored: DataFrame, k: int, vectors_per_block:
     ``asked(prompt_id, embedding, cell)`` and ``stored(id, embedding, cell)``;
     both should be written tables, as they are counted and read.
     """
-    blocks = lambda df, per: df.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / per).cast("int").alias("n"))
-    vn = blocks(stored, vectors_per_block).withColumnRenamed("n", "nv")
-    qn = blocks(asked, queries_per_block).withColumnRenamed("n", "nq")
-    sizes = qn.join(vn, "cell")
+    blocks = lambda df, per, n, rows: df.groupBy("cell").agg(F.count(F.lit(1)).alias(rows)).withColumn(
+        n, F.ceil(F.col(rows) / per).cast("int"))
+    counted = blocks(asked, queries_per_block, "nq", "queries").join(blocks(stored, vectors_per_block, "nv", "vectors"), "cell")
+    tiles, pairs = counted.agg(F.sum(F.col("nq") * F.col("nv")), F.sum(F.col("queries") * F.col("vectors").cast("double"))).first()
+    sizes = counted.select("cell", "nq", "nv")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     left = (asked.join(sizes, "cell").withColumn("qb", deal("prompt_id", "nq")).withColumn("vb", every("nv"))
@@ -87,6 +87,8 @@ def score_cells(asked: DataFrame, stored: DataFrame, k: int, vectors_per_block:
     right = (stored.join(sizes, "cell").withColumn("vb", deal("id", "nv")).withColumn("qb", every("nq"))
              .select("cell", "qb", "vb", "id", "embedding"))
     tile = ["cell", "qb", "vb"]
+    tasks = tile_tasks(asked.sparkSession, tiles or 1, pairs or 0)
+    left, right = left.repartition(tasks, *tile), right.repartition(tasks, *tile)
     kernel = _tile_kernel(k, "prompt_id", "embedding", "id", "embedding", None)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -97,9 +99,8 @@ def score_cells(asked: DataFrame, stored: DataFrame, k: int, vectors_per_block:
 
 def _nan_candidates(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs without a distance; ``vectors`` has at most k rows."""
-    ids = vectors.agg(F.collect_list("id").alias("ids"))
-    return (queries.select("prompt_id").join(F.broadcast(ids))
-            .select("prompt_id", F.explode("ids").alias("id"), F.lit(float("nan")).alias("dist")))
+    ids = vectors.agg(F.collect_list("id")).scalar()
+    return queries.select("prompt_id", F.explode(ids).alias("id"), F.lit(float("nan")).alias("dist"))
 
 
 # ---------------------------------------------------------------------------

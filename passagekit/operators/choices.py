@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LETTERS, letter_to_index
-from .corpus import dense_index
+from ..session import scratch_path
+from .corpus import dense_index_ranges
 from .encode import tokens
+from .tokens import fit_pair, token_count
 
 OPTIONS = list(LETTERS)
 # Input pair templates.
@@ -30,14 +32,16 @@ def fill_options(df: DataFrame, value: str = MISSING_OPTION) -> DataFrame:
     return df.fillna(value, subset=OPTIONS)
 
 
-def shuffle_rows(df: DataFrame, seed: int, id_col: str = "prompt_id") -> DataFrame:
-    """Reproducible permutation: rows ordered by a seeded hash of their id.
+def shuffle_rows(df: DataFrame, seed: int, id_col: str = "prompt_id", rows_per_range: int = 250_000) -> DataFrame:
+    """Reproducible permutation: rows ordered by a seeded hash of their id
+    (unique).
 
-    Adds ``shuffle_key`` and ``position`` (0-based place in the new order,
-    numbered over key ranges, not in one task)."""
+    Adds ``shuffle_key`` and ``position`` (0-based place in the new order). Rows
+    are dealt into ranges of the key of about ``rows_per_range`` rows, so the
+    number of tasks follows the data, and written in their new order."""
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    keyed = df.withColumn("shuffle_key", key)
-    return dense_index(keyed, ["shuffle_key", id_col], F.substring("shuffle_key", 1, 2), "position")
+    return dense_index_ranges(df.withColumn("shuffle_key", key), ["shuffle_key", id_col], "position",
+                              scratch_path(df.sparkSession, "shuffled"), rows_per_range)
 
 
 def drop_rows(df: DataFrame, ids: list[int], id_col: str = "prompt_id") -> DataFrame:
@@ -100,10 +104,15 @@ def word_count(c: Column) -> Column:
     return F.size(F.split(c, " ", -1))
 
 
-def truncate_pairs(pairs: DataFrame, max_tokens: int) -> DataFrame:
-    """Cut only ``first`` so that both texts fit ``max_tokens`` word tokens
-    (space-separated); ``over_budget`` flags pairs whose second text alone
-    is too long."""
+def truncate_pairs(pairs: DataFrame, max_tokens: int, tokenizer=None) -> DataFrame:
+    """Cut only ``first`` so that both texts fit ``max_tokens`` tokens;
+    ``over_budget`` flags pairs whose second text alone is too long.
+
+    Tokens are space-separated words (native), or those of ``tokenizer``
+    (:mod:`.tokens`)."""
+    if tokenizer is not None:
+        fit = fit_pair(F.col("first"), F.col("second"), max_tokens, tokenizer)
+        return pairs.withColumn("_f", fit).select("prompt_id", "choice", F.col("_f.first").alias("first"), "second", "label", "_f.over_budget")
     budget = F.greatest(F.lit(max_tokens) - word_count(F.col("second")), F.lit(0))
     cut = F.array_join(F.slice(F.split(F.col("first"), " ", -1), 1, budget), " ")
     return pairs.select("prompt_id", "choice",
@@ -112,10 +121,12 @@ def truncate_pairs(pairs: DataFrame, max_tokens: int) -> DataFrame:
                         (word_count(F.col("second")) > max_tokens).alias("over_budget"))
 
 
-def token_lengths(df: DataFrame, by: str, text_col: str = "text") -> DataFrame:
+def token_lengths(df: DataFrame, by: str, text_col: str = "text", tokenizer=None) -> DataFrame:
     """Token statistics per group: ``(by, n, min/avg/max tokens,
-    chars_per_token)``, tokens being the encoder's word tokens."""
-    t = df.select(by, F.size(tokens(F.col(text_col))).alias("ntok"), F.length(text_col).alias("nchar"))
+    chars_per_token)``, tokens being the encoder's word tokens or those of
+    ``tokenizer``."""
+    count = F.size(tokens(F.col(text_col))) if tokenizer is None else token_count(F.col(text_col), tokenizer)
+    t = df.select(by, count.alias("ntok"), F.length(text_col).alias("nchar"))
     return t.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.min("ntok").alias("min_tokens"),
         F.round(F.avg("ntok"), 6).alias("avg_tokens"), F.max("ntok").alias("max_tokens"),

@@ -14,7 +14,7 @@ token counts, L2 normalised and stored as float32.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Callable
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +115,70 @@ class CallableEncoder:
         return _as_list_array(_unit_rows(out) if out.size else np.zeros((0, self.dim), np.float32))
 
 
+@dataclass
+class ModelEncoder:
+    """A model over texts: ``loader()`` gives it, ``encode(model, texts)`` an
+    ``[n, dim]`` array; vectors are L2-normalised here.
+
+    The model is loaded once per Python worker process. Rows come as a stream of
+    Arrow batches: a window of them is sorted by text length and cut into model
+    batches of at most ``batch_rows`` rows whose padded size (rows times longest
+    text) is at most ``batch_chars``, so short texts are not padded to long ones
+    and memory follows the texts, not the row count. Rows keep their order.
+    """
+    name: str
+    dim: int
+    loader: Callable
+    encode: Callable
+    query_prefix: str = ""
+    passage_prefix: str = ""
+    batch_rows: int = 4096
+    batch_chars: int = 1 << 20
+    window_rows: int = 1 << 14
+
+    def features(self, text: Column) -> Column:
+        return text
+
+    def model(self):
+        key = (self.name, self.loader.__module__, self.loader.__qualname__)
+        if key not in _MODELS:
+            _MODELS[key] = self.loader()
+        return _MODELS[key]
+
+    def model_batches(self, lengths: np.ndarray):
+        """Row numbers of each model batch, shortest texts first."""
+        order, at = np.argsort(lengths, kind="stable"), 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and to - at < self.batch_rows and (to + 1 - at) * lengths[order[to]] <= self.batch_chars:
+                to += 1
+            yield order[at:to]
+            at = to
+
+    def encode_texts(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for rows in self.model_batches(np.array([len(t) for t in texts], np.int64)):
+            out[rows] = _unit_rows(np.asarray(self.encode(self.model(), [texts[i] for i in rows]), np.float64).reshape(len(rows), self.dim))
+        return out
+
+    def encode_stream(self, arrays):
+        """One array of vectors per array of texts, window by window."""
+        window, held = [], 0
+        for a in arrays:
+            window.append(a)
+            held += len(a)
+            if held >= self.window_rows:
+                yield from self._encode_window(window)
+                window, held = [], 0
+        yield from self._encode_window(window)
+
+    def _encode_window(self, window):
+        vectors, at = self.encode_texts([t or "" for a in window for t in a.to_pylist()]), 0
+        for a in window:
+            yield _as_list_array(vectors[at:at + len(a)])
+            at += len(a)
+
+
 def for_model(model: str | None, dim: int = 256) -> HashingEncoder:
     """Hashing encoder carrying the prefixes a model family would use."""
     return HashingEncoder(dim=dim, name=model or "hashing",
@@ -126,7 +190,13 @@ def encode_column(encoder, text: Column) -> Column:
 
     from ..session import ship_package
     ship_package(SparkSession.getActiveSession())
-    udf = F.arrow_udf(encoder.encode_arrow, T.ArrayType(T.FloatType()))
+    if hasattr(encoder, "encode_stream"):
+        def stream(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from encoder.encode_stream(arrays)
+
+        udf = F.arrow_udf(stream, T.ArrayType(T.FloatType()))
+    else:
+        udf = F.arrow_udf(encoder.encode_arrow, T.ArrayType(T.FloatType()))
     return udf(encoder.features(text))
 
 

@@ -12,11 +12,13 @@ with ties to the lower id), four ways to feed it, chosen by measured size:
   most k rows per query per task; the vectors are never shuffled.
 * **vectors** -- many queries, small vector table: the vectors are
   broadcast and batches of queries are scored.
-* **blocked** -- both large: queries are written once, then processed in
-  blocks of at most the bound, one job per block, candidates appended to the
-  shared folder (driver memory: one block; vectors read once per block).
-* **tiled** (opt-in) -- both sides hashed into blocks and every (query
-  block, vector block) tile scored through ``cogroup().applyInArrow``.
+* **tiled** -- both large: both sides hashed into blocks and every (query
+  block, vector block) tile scored through ``cogroup().applyInArrow``, all in one
+  job. The vectors are shuffled once per query block, little beside the scores.
+* **blocked** (opt-in, where shuffling the vectors is worse than reading them) --
+  queries are written once, then processed in blocks of at most the bound, one
+  job per block, candidates appended to the shared folder (driver memory: one
+  block; vectors read once per block).
 
 Candidates from tasks/blocks/tiles are merged by ``row_number() <= k`` per
 query (partial ``WindowGroupLimit`` before its exchange). No path
@@ -41,6 +43,9 @@ MAX_BROADCAST_BYTES = 64 << 20     # query matrix kept on every executor
 QUERY_SUBBLOCK = 1024               # queries scored together in one product
 VECTOR_SUBBLOCK = 8192              # vectors scored together in one product
 VECTORS_PER_TILE = 200_000          # vector rows per tile on the tiled path
+MAX_TILE_TASKS = 100_000
+PAIRS_PER_TASK = 50_000_000         # scores that are worth a task of their own
+MAX_HELD_ROWS = 1 << 21             # candidates a task holds before it hands them on
 
 _OUT_SCHEMA = "prompt_id long, id long, dist double"
 _OUT_SCHEMA_SHARD = "prompt_id long, shard int, id long, dist double"
@@ -111,6 +116,9 @@ class _Accumulator:
     def _merge(self, parts):
         return _select_topk(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.k)
 
+    def held(self) -> int:
+        return sum(len(p[0]) for parts in self.parts.values() for p in parts)
+
     def result(self):
         done = [self._merge(p) for _, p in sorted(self.parts.items())]
         if not done:
@@ -132,6 +140,18 @@ def _broadcast_kernel(bc, k: int, vid: str, vcol: str, shard_col: str | None):
     def run(batches):
         qids, Q = bc.value
         accs = {}
+
+        def hand_on():
+            for key, acc in accs.items():
+                qi, ids, dist = acc.result()
+                cols = {"prompt_id": pa.array(qids[qi], pa.int64())}
+                if shard_col is not None:
+                    cols["shard"] = pa.array(np.full(len(qi), key, np.int32))
+                cols["id"] = pa.array(ids, pa.int64())
+                cols["dist"] = pa.array(dist, pa.float64())
+                yield pa.RecordBatch.from_pydict(cols)
+            accs.clear()
+
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -145,14 +165,10 @@ def _broadcast_kernel(bc, k: int, vid: str, vcol: str, shard_col: str | None):
             for key, sel in groups:
                 acc = accs.setdefault(key, _Accumulator(k))
                 _score_blocks(Q, V_all[sel], ids_all[sel], k, acc)
-        for key, acc in accs.items():
-            qi, ids, dist = acc.result()
-            cols = {"prompt_id": pa.array(qids[qi], pa.int64())}
-            if shard_col is not None:
-                cols["shard"] = pa.array(np.full(len(qi), key, np.int32))
-            cols["id"] = pa.array(ids, pa.int64())
-            cols["dist"] = pa.array(dist, pa.float64())
-            yield pa.RecordBatch.from_pydict(cols)
+                # many shards or queries: what is best so far goes to the merge early
+                if sum(a.held() for a in accs.values()) > MAX_HELD_ROWS:
+                    yield from hand_on()
+        yield from hand_on()
     return run
 
 
@@ -210,6 +226,13 @@ def _tile_kernel(k: int, qid: str, qcol: str, vid: str, vcol: str, shard_col: st
     return run
 
 
+def tile_tasks(spark, tiles: int, pairs: float) -> int:
+    """Tasks for ``tiles`` tiles of ``pairs`` scores: their cost is in the scores,
+    not in the bytes by which Spark would merge them."""
+    want = max(2 * spark.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_PER_TASK))
+    return int(min(tiles, want, MAX_TILE_TASKS))
+
+
 def _rank(cands: DataFrame, k: int, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("dist", "id")
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -224,12 +247,12 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
 
     ``strategy``: ``auto`` picks, by measured size, ``broadcast`` (query
     matrix under ``max_broadcast_bytes``), ``vectors`` (vector matrix under
-    the bound: broadcast it and score batches of queries) or ``blocked``
-    (query blocks of at most the bound, one after the other, each broadcast
-    and scanned against the vectors; candidates appended to the shared
-    folder, so the driver holds one block at a time and the vectors are
-    never shuffled). ``tiled`` replicates both sides into (query block,
-    vector block) tiles through a shuffle instead.
+    the bound: broadcast it and score batches of queries) or ``tiled`` (both
+    sides replicated into (query block, vector block) tiles through a shuffle).
+    ``blocked`` takes query blocks of at most the bound, one after the other,
+    each broadcast and scanned against the vectors; candidates are appended to
+    the shared folder, so the driver holds one block at a time and the vectors
+    are never shuffled.
     """
     spark = queries.sparkSession
     ship_package(spark)
@@ -248,7 +271,7 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
         elif vectors.count() * max(dim, 1) * 8 <= max_broadcast_bytes:
             strategy = "vectors"
         else:
-            strategy = "blocked"
+            strategy = "tiled"
 
     if strategy == "broadcast":
         if qbytes > max_broadcast_bytes:
@@ -288,12 +311,16 @@ def local_candidates(queries: DataFrame, vectors: DataFrame, k: int = 20, *, qid
     nqb = max(1, math.ceil(qbytes / max_broadcast_bytes))
     nv = vectors.count()
     nvb = max(1, math.ceil(nv / vectors_per_tile))
+    # block numbers have one type on both sides: the exchanges hash them
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     qrep = (queries.select(qid, qcol)
-            .withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(nqb)))
+            .withColumn("_qb", deal(qid, nqb))
             .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(nvb - 1)))))
     vrep = (vectors.select(*vcols)
-            .withColumn("_vb", F.pmod(F.xxhash64(vid), F.lit(nvb)))
+            .withColumn("_vb", deal(vid, nvb))
             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
+    tasks = tile_tasks(spark, nqb * nvb, nq * nv)
+    qrep, vrep = qrep.repartition(tasks, "_qb", "_vb"), vrep.repartition(tasks, "_qb", "_vb")
     return (qrep.groupBy("_qb", "_vb").cogroup(vrep.groupBy("_qb", "_vb"))
             .applyInArrow(_tile_kernel(k, qid, qcol, vid, vcol, shard_col), schema))
 

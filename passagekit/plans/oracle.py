@@ -8,6 +8,8 @@ products instead of dense kernels. Blocks are named CTEs with dependencies;
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import BGE_QUERY_PREFIX
 
 STRIP = r"regexp_replace({x}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
@@ -18,13 +20,13 @@ def _strip(x: str) -> str:
     return STRIP.format(x=x)
 
 
-def _sparse(name: str, src: str, keys: list[str], text: str) -> str:
+def _sparse(name: str, src: str, keys: list[str], text: str, dim: int = 256) -> str:
     """Hashing encoder in SQL: ``(keys..., bucket, cnt, w)``."""
     k = ", ".join(keys)
     return f"""{name} AS (
   SELECT {k}, bucket, cnt, (cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY {k})))::FLOAT AS w
   FROM (SELECT {k}, bucket, count(*)::BIGINT AS cnt FROM (
-      SELECT {k}, (('0x' || substr(md5(tok), 1, 4))::INTEGER % 256)::INTEGER AS bucket
+      SELECT {k}, (('0x' || substr(md5(tok), 1, 4))::INTEGER % {dim})::INTEGER AS bucket
       FROM (SELECT {k}, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {src})
       WHERE tok <> '') GROUP BY {k}, bucket))"""
 
@@ -176,6 +178,26 @@ _score AS (
          min(CASE WHEN x = mx THEN i END) AS am
   FROM _pred GROUP BY id, label)""")
 
+# Retrieval with two encoders: the blocks above under new names, with the first
+# model's question prefix for the search and the second one's for the lines.
+_NORM = ",\n{n} AS (SELECT prompt_id, sum(w::DOUBLE * w::DOUBLE) AS nn FROM {v} GROUP BY prompt_id)"
+_cte("_qv_b", ["_qt"], _sparse("_qv_b", "_qt", ["prompt_id"], f"'{BGE_QUERY_PREFIX}' || qt") + _NORM.format(n="_qn_b", v="_qv_b"))
+_cte("_qv_e", ["_qt"], _sparse("_qv_e", "_qt", ["prompt_id"], "'query: ' || qt", 128) + _NORM.format(n="_qn_e", v="_qv_e"))
+
+
+def _renamed(sql: str, names: dict[str, str]) -> str:
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[m[1]], sql)
+
+
+_OWN = {n: n + "_2" for n in ("hits", "loaded", "lines", "ranked", "_dot", "_d", "_lv", "_ln", "_cand", "_ldot", "_cd", "_ctx", "context_dataset")}
+_SEARCH, _LINES = _OWN | {"_qv": "_qv_b", "_qn": "_qn_b"}, _OWN | {"_qv": "_qv_e", "_qn": "_qn_e"}
+_cte("hits_2", ["_qv_b", "_sv"], _renamed(CTES["hits"][0], _SEARCH))
+_cte("loaded_2", ["hits_2"], _renamed(CTES["loaded"][0], _OWN))
+_cte("lines_2", ["loaded_2"], _renamed(CTES["lines"][0], _OWN))
+_cte("ranked_2", ["lines_2", "hits_2", "_qv_e"], _renamed(CTES["ranked"][0].replace(
+    "lower(text)", "lower('passage: ' || text)").replace("% 256", "% 128"), _LINES))
+_cte("context_dataset_2", ["ranked_2", "questions"], _renamed(CTES["context_dataset"][0], _OWN))
+
 _SHARDS = """_vn AS (SELECT count(*) AS n, count(*) // 16 AS q, count(*) - (count(*) // 16) * 16 AS r FROM embeddings),
 _vs AS (
   SELECT e.vec_id AS id, (CASE WHEN e.vec_id < r * (q + 1) THEN e.vec_id // (q + 1)
@@ -295,6 +317,14 @@ FROM _mc m JOIN (SELECT prompt_id, choice, string_agg(o, '(o) ' ORDER BY md5('0:
         "SELECT prompt_id, rank, id, dist", "SELECT prompt_id, rank, id, CASE WHEN NOT isnan(dist) THEN dist END AS dist")),
     "sink_modes": (["_pred"], """SELECT id, substring('ABCDE', (am + 1)::INTEGER, 1) AS pred,
   substring('ABCDE', (label + 1)::INTEGER, 1) AS label FROM _score"""),
+    "sink_outcomes": ([], """SELECT mode, outcome, (SELECT count(*) FROM embeddings)::BIGINT AS n
+FROM (VALUES ('overwrite', 'replaced'), ('ignore', 'kept'), ('errorifexists', 'refused')) AS t(mode, outcome)"""),
+    "output_named": (["context_dataset"], """SELECT (row_number() OVER (ORDER BY prompt_id) - 1)::BIGINT AS prompt_id, prompt, context,
+  'sections_v1.index_sharded__benchmark_e5-base-v2_20_v1.csv' AS output FROM context_dataset"""),
+    "dev_slice_500": (["corpus"], """SELECT id, file, text FROM (
+  SELECT id, (id1 // 1000)::INTEGER AS file, text, row_number() OVER (PARTITION BY id1 // 1000 ORDER BY id) AS rn FROM corpus) WHERE rn <= 500"""),
+    "encode_batches": (["_sv"], "SELECT id, bucket, cnt, w AS weight FROM _sv WHERE id < 768"),
+    "context_two_encoders": (["context_dataset_2"], "SELECT prompt_id, prompt, context, A, B, C, D, E, answer FROM context_dataset_2"),
     "mc_pairs": (["_mc"], """SELECT prompt_id, choice, '[CLS] ' || context AS first,
   ' #### ' || prompt || ' [SEP] ' || option || ' [SEP]' AS second, (instr('ABCDE', answer) - 1)::INTEGER AS label FROM _mc"""),
     "mc_pairs_answers": (["_mca"], "SELECT prompt_id, choice, first, second, label FROM _mca"),
@@ -312,6 +342,7 @@ FROM (SELECT lang, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\
     "pred_letters": (["_pred"], """SELECT id, substring('ABCDE', (am + 1)::INTEGER, 1) AS pred,
   substring('ABCDE', (label + 1)::INTEGER, 1) AS label FROM _score"""),
 }
+FINAL["prepare_split_head"] = (["questions"], FINAL["prepare_split"][1].replace("position < 100", "position < 50"))
 FINAL["raw_scan"] = ([], FINAL["extract_api"][1].replace(
     "SELECT doc_id, CASE WHEN json_valid", "SELECT * FROM (SELECT doc_id, CASE WHEN json_valid") + ") WHERE text <> ''")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,13 @@ from ..functions.arith import idiv
 from ..functions.text import BGE_MODELS, passage_text, query_text, section_headers
 from ..functions.vector import l2_normalize
 from ..operators import cells, choices, corpus, encode, evaluate, knn, retrieve
+from ..operators.bag_model import bag_model
+from ..operators.tokens import RankTokenizer
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import readers, writers
-from . import corpus_build, incremental
-from .context import QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
+from . import corpus_build, incremental, index_build, retrieval
+from .context import CONTEXT_TOP_K, ENCODER_DIM, QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
 
 DROP_POSITIONS = [0, 7, 13, 100_000]     # three that exist and one beyond our tables
 SHUFFLE_SEED = 0
@@ -28,6 +31,10 @@ MAX_TOKENS = 64
 SHARDS = 16
 DEV_ROWS_PER_FILE = 100
 DEV_ROWS = 100
+HEAD_ROWS = 50
+DEV_BATCHES, BATCH_ROWS = 3, 256     # small stand-in for batches of 4,096
+LINE_DIM = 128
+SUBWORD_TOKENS = 256
 MIN_RECALL = 0.9
 BATCHES, STORE_BUCKETS = 3, 16
 BGE_MODEL = sorted(BGE_MODELS)[0]
@@ -290,14 +297,14 @@ def q_sections_scan(spark, d):
 
 def q_articles_sorted(spark, d):
     """Hits in ``(file, id)`` order, with their position."""
-    return corpus.dense_index(_i(spark, d).selected, ["file", "id", "prompt_id"], F.col("file"), "position")
+    return corpus.dense_index_ranges(_i(spark, d).selected, ["file", "id", "prompt_id"], "position", scratch_path(spark, "sorted"))
 
 
 def q_sectionize_sorted(spark, d):
     """Spans in ``(document_id, offset)`` order, with their position."""
     s = retrieve.sectionize(_i(spark, d).loaded).select(
         "document_id", F.col("offset.start").alias("start"), F.col("offset.end").alias("end"))
-    return corpus.dense_index(s, ["document_id", "start", "end"], corpus.idiv("document_id", ROWS_PER_FILE), "position")
+    return corpus.dense_index_ranges(s, ["document_id", "start", "end"], "position", scratch_path(spark, "sorted"))
 
 
 def q_query_text_bge(spark, d):
@@ -329,6 +336,77 @@ def q_sink_modes(spark, d):
     return spark.read.parquet(path)
 
 
+def q_sink_outcomes(spark, d):
+    """What each save mode does to a finished output."""
+    path = scratch_path(spark, "modes")
+    letters = evaluate.pred_letters(_i(spark, d).predictions)
+    letters.where("id < 10").write.mode("errorifexists").parquet(path)
+    letters.write.mode("overwrite").parquet(path)
+    out = [("overwrite", "replaced")]
+    letters.where("id < 10").write.mode("ignore").parquet(path)
+    out.append(("ignore", "kept"))
+    try:
+        letters.where("id < 10").write.mode("errorifexists").parquet(path)
+        out.append(("errorifexists", "written"))
+    except AnalysisException:
+        out.append(("errorifexists", "refused"))
+    outcomes = spark.createDataFrame(out, "mode string, outcome string")
+    return outcomes.withColumn("n", spark.read.parquet(path).agg(F.count(F.lit(1))).scalar())
+
+
+def q_output_named(spark, d):
+    """Contextual questions written to the name that the run's parameters give,
+    and read back from it."""
+    name = writers.output_name(scratch_path(spark, "out"), "idx/sections_v1.index", "benchmark.csv", QUERY_MODEL, RETRIEVER_K, "v1", True)
+    writers.write_context_csv(_i(spark, d).contexts.orderBy("prompt_id"), name)
+    back = readers.read_questions_csv(spark, name, columns=writers.CONTEXT_COLUMNS)
+    return back.select("prompt_id", "prompt", "context", F.lit(name.rsplit("/", 1)[-1]).alias("output"))
+
+
+def q_dev_slice_500(spark, d):
+    """The quick-run slice at its own size: 500 rows of each file of 1,000."""
+    c = _i(spark, d).corpus.withColumn("file", idiv("id1", 1000).cast("int"))
+    w = Window.partitionBy("file").orderBy("id")
+    return c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 500).select("id", "file", "text")
+
+
+def q_prepare_split_head(spark, d):
+    """The preparation with a head that cuts."""
+    q = _i(spark, d).questions
+    return choices.prepare_split(q, q, DROP_POSITIONS, SHUFFLE_SEED, HEAD_ROWS).select(
+        "row_id", "prompt_id", "position", "prompt", "A", "B", "C", "D", "E", "answer")
+
+
+def q_encode_batches(spark, d):
+    """The quick run of the encoder: it stops after three batches of sections."""
+    i = _i(spark, d)
+    return encode.encode_sparse(i.corpus.where(F.col("id") < DEV_BATCHES * BATCH_ROWS), i.encoder, "id")
+
+
+def q_context_two_encoders(spark, d):
+    """Retrieval with a model for the index and another one for the lines, each
+    with its own prefixes."""
+    i = _i(spark, d)
+    index = bag_model(BGE_MODEL, ENCODER_DIM)
+    lines = bag_model(QUERY_MODEL, LINE_DIM)
+    vectors = index_build.build_index(i.corpus, index, scratch_path(spark, "index"))
+    return retrieval.retrieve_contexts(i.questions, i.corpus, i.meta, vectors, index, RETRIEVER_K, CONTEXT_TOP_K, line_encoder=lines).contexts
+
+
+def _subwords():
+    import public_tokenizers
+    return RankTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def q_truncate_pairs_subword(spark, d):
+    """Pairs cut to a budget of sub-word tokens."""
+    return choices.truncate_pairs(choices.mc_pairs(_ctx_filled(spark, d), with_answers=True), SUBWORD_TOKENS, _subwords())
+
+
+def q_token_lengths_subword(spark, d):
+    return choices.token_lengths(_i(spark, d).t("documents"), "lang", tokenizer=_subwords())
+
+
 def _ctx_filled(spark, d) -> DataFrame:
     return choices.fill_options(_i(spark, d).contexts)
 
@@ -431,4 +509,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mc_pairs_shuffled": q_mc_pairs_shuffled,
     "knn_nan": q_knn_nan,
     "sink_modes": q_sink_modes,
+    "sink_outcomes": q_sink_outcomes,
+    "output_named": q_output_named,
+    "dev_slice_500": q_dev_slice_500,
+    "prepare_split_head": q_prepare_split_head,
+    "encode_batches": q_encode_batches,
+    "context_two_encoders": q_context_two_encoders,
+    "truncate_pairs_subword": q_truncate_pairs_subword,
+    "token_lengths_subword": q_token_lengths_subword,
 }

@@ -29,8 +29,8 @@ def clustered():
 def test_pruned_equals_flat_and_reads_a_part(spark, clustered, k):
     v, q = clustered
     vs, qs = frame(spark, v, range(900), "id"), frame(spark, q, range(len(q)), "prompt_id")
-    index = cells.build_cell_index(vs, scratch_path(spark, "t-cells"))
-    got = cells.search_cells(qs, index, k, vectors_per_block=50, queries_per_block=7)
+    index = cells.build_cell_index(vs, scratch_path(spark, "t-cells"), cells=20)
+    got = cells.search_cells(qs, index, k, vectors_per_block=100, queries_per_block=10)
     assert rows(got.hits) == rows(knn.knn(qs, vs, k))
     report = cells.pruned_report(got).collect()
     assert len(report) == len(q) and all(r.vectors == 900 and r.cells_read <= r.cells for r in report)

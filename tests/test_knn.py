@@ -132,3 +132,31 @@ def test_null_embedding_is_rejected(spark):
     q = spark.createDataFrame([(1, [1.0])], "prompt_id long, embedding array<float>")
     with pytest.raises(Exception, match="null embedding"):
         knn.knn(q, v, 1).collect()
+
+
+def test_state_of_a_task_is_bounded(spark, data, monkeypatch):
+    """Candidates beyond the bound go to the merge early; the answer stays."""
+    Q, qids, V, vids = data
+    q, v = frames(spark, Q, qids, V, np.arange(len(V)))
+    sv = knn.shard_vectors(v, 7).repartition(2).persist()
+    assert rows(knn.knn_sharded(q, sv, 20)) == rows(knn.knn(q, v, 20))
+    few = []
+
+    class Batch:
+        def __init__(self, at):
+            self.at, self.num_rows = at, 30
+
+        def column(self, name):
+            import pyarrow as pa
+            cols = {"id": np.arange(self.at, self.at + 30), "shard": np.arange(30, dtype=np.int32) % 7}
+            return pa.array(list(V[self.at:self.at + 30].astype(float))) if name == "embedding" else pa.array(cols[name])
+
+    class Shared:
+        value = (qids.astype(np.int64), Q.astype(float))
+
+    monkeypatch.setattr(knn, "MAX_HELD_ROWS", 200)
+    most = 0
+    for out in knn._broadcast_kernel(Shared, 20, "id", "embedding", "shard")(Batch(a) for a in range(0, 300, 30)):
+        few.append(out)
+        most = max(most, out.num_rows)
+    assert len(few) > 7 and most <= 9 * 20
