@@ -68,12 +68,12 @@ def _finite(v: np.ndarray) -> np.ndarray:
     return np.isfinite(v).all(axis=1) if v.size else np.zeros(len(v), bool)
 
 
-def score_cells(asked: DataFrame, stored: DataFrame, k: int, vectors_per_block: int = VECTORS_PER_BLOCK,
-                queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
-    """Candidates ``(prompt_id, id, dist)``: the k best of each tile.
+def score_tiles(asked: DataFrame, stored: DataFrame, columns: list[str], kernel, schema: str,
+                vectors_per_block: int = VECTORS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+    """``kernel(queries, vectors)`` over the tiles of every cell.
 
-    ``asked(prompt_id, embedding, cell)`` and ``stored(id, embedding, cell)``;
-    both should be written tables, as they are counted and read.
+    ``asked(prompt_id, embedding, cell)`` and ``stored(id, cell)`` with
+    ``columns``; both should be written tables, as they are counted and read.
     """
     blocks = lambda df, per, n, rows: df.groupBy("cell").agg(F.count(F.lit(1)).alias(rows)).withColumn(
         n, F.ceil(F.col(rows) / per).cast("int"))
@@ -82,19 +82,23 @@ def score_cells(asked: DataFrame, stored: DataFrame, k: int, vectors_per_block:
     sizes = counted.select("cell", "nq", "nv")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    tile = ["cell", "qb", "vb"]
     left = (asked.join(sizes, "cell").withColumn("qb", deal("prompt_id", "nq")).withColumn("vb", every("nv"))
-            .select("cell", "qb", "vb", "prompt_id", "embedding"))
+            .select(*tile, "prompt_id", "embedding"))
     right = (stored.join(sizes, "cell").withColumn("vb", deal("id", "nv")).withColumn("qb", every("nq"))
-             .select("cell", "qb", "vb", "id", "embedding"))
-    tile = ["cell", "qb", "vb"]
+             .select(*tile, "id", *columns))
     tasks = tile_tasks(asked.sparkSession, tiles or 1, pairs or 0)
     left, right = left.repartition(tasks, *tile), right.repartition(tasks, *tile)
-    kernel = _tile_kernel(k, "prompt_id", "embedding", "id", "embedding", None)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return kernel(left, right)
 
-    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, _CANDIDATES)
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, schema)
+
+
+def score_cells(asked: DataFrame, stored: DataFrame, k: int, **blocks) -> DataFrame:
+    """Candidates ``(prompt_id, id, dist)``: the k best of each tile."""
+    return score_tiles(asked, stored, ["embedding"], _tile_kernel(k, "prompt_id", "embedding", "id", "embedding", None), _CANDIDATES, **blocks)
 
 
 def _nan_candidates(queries: DataFrame, vectors: DataFrame) -> DataFrame:

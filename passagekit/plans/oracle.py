@@ -258,6 +258,8 @@ FROM (SELECT (i.id1 // 250)::INTEGER AS file, CASE WHEN c.id IS NULL THEN 1 ELSE
     "knn_flat": ([], _KNN),
     "knn_sharded": ([], _KNN),
     "knn_pruned": ([], _KNN),
+    "knn_bytes": ([], _KNN),
+    "articles_by_id": (["loaded"], "SELECT id, text, first_sentence, file FROM loaded"),
     "knn_recall": ([], """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0)::BIGINT AS queries,
   ((SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) * least(20, (SELECT count(*) FROM embeddings)))::BIGINT AS wanted,
   true AS enough"""),

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.arith import idiv
 from ..functions.text import BGE_MODELS, passage_text, query_text, section_headers
 from ..functions.vector import l2_normalize
-from ..operators import cells, choices, corpus, encode, evaluate, knn, retrieve
+from ..operators import cells, choices, corpus, encode, evaluate, knn, quantized, retrieve
 from ..operators.bag_model import bag_model
 from ..operators.tokens import RankTokenizer
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sources import readers, writers
+from ..sources import lookup, readers, writers
 from . import corpus_build, incremental, index_build, retrieval
 from .context import CONTEXT_TOP_K, ENCODER_DIM, QUERY_MODEL, RETRIEVER_K, ROWS_PER_FILE, Inputs
 
@@ -36,7 +36,7 @@ DEV_BATCHES, BATCH_ROWS = 3, 256     # small stand-in for batches of 4,096
 LINE_DIM = 128
 SUBWORD_TOKENS = 256
 MIN_RECALL = 0.9
-BATCHES, STORE_BUCKETS = 3, 16
+BATCHES, STORE_BUCKETS, LOOKUP_BUCKETS = 3, 16, 16
 BGE_MODEL = sorted(BGE_MODELS)[0]
 
 
@@ -184,6 +184,21 @@ def q_knn_recall(spark, d):
     return r.select("queries", "wanted", (F.col("recall") >= MIN_RECALL).alias("enough"))
 
 
+def q_knn_bytes(spark, d):
+    """The flat search's answer from vectors of one byte per component."""
+    e = _i(spark, d).embeddings
+    index = quantized.build_byte_index(fx.vectors(e), scratch_path(spark, "bytes"), LOOKUP_BUCKETS)
+    return quantized.search_bytes(fx.vector_queries(e), index, RETRIEVER_K).hits
+
+
+def q_articles_by_id(spark, d):
+    """Hit sections, with their file, from tables laid out by id."""
+    i = _i(spark, d)
+    sections = lookup.write_lookup(i.corpus.select("id", "text", "first_sentence"), scratch_path(spark, "by-id"), "id", LOOKUP_BUCKETS)
+    meta = lookup.write_lookup(i.meta, scratch_path(spark, "meta-by-id"), "id", LOOKUP_BUCKETS)
+    return lookup.look_up(sections.join(meta, "id"), i.hits)
+
+
 def q_vector_shards(spark, d):
     e = _i(spark, d).embeddings
     path = scratch_path(spark, "vectors")
@@ -476,6 +491,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_pruned": q_knn_pruned,
     "knn_pruned_cells": q_knn_pruned_cells,
     "knn_recall": q_knn_recall,
+    "knn_bytes": q_knn_bytes,
+    "articles_by_id": q_articles_by_id,
     "vector_shards": q_vector_shards,
     "vectors_scan": q_vectors_scan,
     "shard_offsets": q_shard_offsets,
