@@ -13,7 +13,9 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK = 1 << 19              # symbols per vectorised pass: bounds memory per task
+CHUNK = 1 << 17              # symbols per vectorised pass: its arrays fit a core's cache
+MAX_WIDTH = 256              # digests modulo 2^64 tell runs (under twice a window) of this size apart;
+                             # from 1,024 symbols on there are sequences that they never do
 _U = np.uint64
 # Fixed odd multipliers of the two polynomial digests (any odd values do).
 M1, M2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -68,7 +70,9 @@ class Runs:
     """
 
     def __init__(self, h1, h2, ends, width: int, k: int):
-        n, cap = len(h1), CHUNK + (1 << 16)
+        if width > MAX_WIDTH:
+            raise ValueError(f"windows of over {MAX_WIDTH} symbols")
+        n, cap = len(h1), CHUNK + (1 << 12)
         cap = max(cap, 1 << (n + 1).bit_length()) if n + 1 > cap else cap
         self.width, self.d1, self.d2 = width, Digest(h1, M1, cap), Digest(h2, M2, cap)
         e = np.zeros(0, np.int64)

@@ -92,16 +92,22 @@ def in_sample(ids: DataFrame, col: str, sample: int) -> Column:
 
 # ---- fixed-size key filters -------------------------------------------------
 
-FILTER_BITS = 1 << 26        # 8 MB whatever the input: the proven broadcast bound
+FILTER_BITS = 1 << 26        # 8 MB at least,
+MAX_FILTER_BITS = 1 << 29    # 64 MB at most whatever the input: the proven broadcast bound
+BITS_PER_KEY = 8
 
 
-def bits_of(keys: DataFrame, col: str, n_bits: int = FILTER_BITS):
-    """Broadcast bitmap of ``key mod n_bits`` over a long column.
+def bits_of(keys: DataFrame, col: str, n_bits: int | None = None):
+    """Broadcast bitmap of ``key mod n_bits`` over a long column; the number of
+    bits follows that of the keys within its bounds.
 
-    At most ``n_bits / 8`` bytes reach the driver whatever the number of keys;
-    with more keys the filter only lets more rows through.
+    At most ``MAX_FILTER_BITS / 8`` bytes reach the driver whatever the number of
+    keys; with more keys the filter only lets more rows through.
     """
     import numpy as np
+    if n_bits is None:
+        n = BITS_PER_KEY * keys.count()
+        n_bits = min(max(FILTER_BITS, 1 << max(n - 1, 1).bit_length()), MAX_FILTER_BITS)
     pos = F.pmod(F.col(col), F.lit(n_bits)) + 1       # bitmap functions count from 1
     rows = (keys.where(F.col(col).isNotNull()).select(pos.alias("p"))
             .groupBy(F.expr("bitmap_bucket_number(p)").alias("b"))

@@ -54,7 +54,8 @@ class InductionQueue:
     """Priority queue over symbols, visited batch by batch in ascending order."""
 
     def __init__(self, batch_of: np.ndarray, folder: str, name: str, memory: int):
-        self.batch_of, self.folder, self.name, self.memory = batch_of, folder, name, memory
+        self.batch_of = batch_of.astype(np.uint16) if len(batch_of) and batch_of.max() < 1 << 16 else batch_of
+        self.folder, self.name, self.memory = folder, name, memory
         self.lists: dict[int, Tape] = {}
         self.held = 0
 
@@ -62,7 +63,7 @@ class InductionQueue:
         if not len(positions):
             return
         b = self.batch_of[symbols]
-        order = np.argsort(b, kind="stable")
+        order = np.argsort(b, kind="stable")        # 16-bit numbers are sorted by digits
         b, positions = b[order], positions[order]
         cuts = np.flatnonzero(b[1:] != b[:-1]) + 1
         for at, part in zip(np.r_[0, cuts].tolist(), np.split(positions, cuts), strict=True):
@@ -161,17 +162,37 @@ def _order_batch(x, want, base, own, lo, hi):
     place[:fixed] = parent[:fixed]
     parent[:fixed] = np.arange(fixed)
     key = high + place
+    order = np.argsort(key)                      # equal keys get one rank in any order
+    key = key[order]
+    first = _firsts(key[1:] != key[:-1])
+    rank = np.empty(n, np.int64)                 # place of the first suffix with an equal key
+    rank[order] = first
     while True:                                  # chains of right neighbours, twice as long each time
-        order = np.argsort(key, kind="stable")
-        new = np.r_[True, key[order[1:]] != key[order[:-1]]]
-        if new.all():
+        tied = order[_tied(first)]
+        if not len(tied):
+            order = np.empty(n, np.int64)
+            order[rank] = np.arange(n)
             return pos[order], ~is_seed[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        key = rank * n + rank[parent]
+        key = rank[tied] * n + rank[parent[tied]]
+        again = np.argsort(key)
+        order, key = tied[again], key[again]
+        old = rank[order]
+        group, first = _firsts(old[1:] != old[:-1]), _firsts(key[1:] != key[:-1])
+        rank[order] = old + first - group
         parent = parent[parent]
 
 
+def _firsts(changes: np.ndarray) -> np.ndarray:
+    """Per element of a sorted list, the place of the first one equal to it."""
+    return np.maximum.accumulate(np.where(np.r_[True, changes], np.arange(len(changes) + 1), 0))
+
+
+def _tied(first: np.ndarray) -> np.ndarray:
+    """Which elements share their first place with a neighbour."""
+    same = first[1:] == first[:-1]
+    return np.r_[False, same] | np.r_[same, False]
+
+
 def suffix_order(x: np.ndarray, k: int, folder: str, memory: int = MEMORY, depth: int = 0) -> np.ndarray:
     """Starts of the suffixes of ``x`` (symbols 0 to k - 1) in ascending order;
     the end of the string is smaller than any symbol."""

@@ -27,14 +27,14 @@ from .common import arrow_map, bits_of, has_bits, staged
 
 LAST = (1 << 63) - 1         # stands for a null document id inside the jobs
 
-SLICE_BYTES = 4 << 20        # text bytes decoded at once
+SLICE_BYTES = 1 << 20        # text bytes decoded at once
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """Texts with the key of their rows: document id (null: ``LAST``) and text
     digest, so that rows that share an id but not a text are kept apart."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"),
-                       F.xxhash64("text").alias("th"), "text")
+                       F.xxhash64("text").alias("th"), "text", *[F.col(c).cast("long").alias(c) for c in more])
 
 
 def slices(batch):
@@ -91,7 +91,7 @@ def repeated_runs(texts: DataFrame, read: Callable, width: int, k: int) -> DataF
             yield {"a": runs.anchor}
 
     counts = arrow_map(texts, anchors, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    seen = bits_of(counts, "a")
+    seen = bits_of(staged(counts.select("a"), "anchors"), "a")
 
     def candidates(batches):
         for r in scan(batches):
@@ -108,6 +108,9 @@ def windows_of(texts: DataFrame, read: Callable, width: int, k: int, keys: DataF
     """Digests of all windows of the runs named by ``keys`` (a few more runs may
     slip through the bitmap; they are true occurrences like the others):
     ``w1, w2, did, th, s``."""
+    keys = staged(keys.select("key"), "keys")
+    if keys.isEmpty():
+        return keys.sparkSession.createDataFrame([], "w1 long, w2 long, did long, th long, s long")
     scan, wanted = each_run(read, width, k), bits_of(keys, "key")
 
     def windows(batches):
@@ -124,8 +127,8 @@ def windows_of(texts: DataFrame, read: Callable, width: int, k: int, keys: DataF
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the arrays ``starts`` and ``ends`` of their spans
+    """``doc_id, text`` with the arrays ``starts`` and ``ends`` of their spans
     (``did, th, b, e``); null where a row has none."""
     per_doc = staged(spans.groupBy("did", "th").agg(F.collect_list(F.struct("b", "e")).alias("x"))
                      .select("did", "th", F.col("x.b").alias("starts"), F.col("x.e").alias("ends")), "spans")
-    return keyed(docs).join(per_doc, ["did", "th"], "left")
+    return keyed(docs, "doc_id").join(per_doc, ["did", "th"], "left").select("doc_id", "text", "starts", "ends")

@@ -12,8 +12,9 @@ and grouped by its 128-bit digest over the corpus, so that a hot anchor makes no
 pairs and its windows spread over the tasks. Put together, adjacent windows form
 the maximal repeats of at least ``width`` words.
 
-Defined results: a null text has no words; a null id counts as larger than any
-id (such rows lose words to others, never to each other); rows repeated with
+Defined results: a null text has no words; a null id counts as 2^63 - 1, the
+largest id (such rows lose words to others, never to each other), and comes back
+as null; rows repeated with
 one id never remove each other's words; empty tables give empty results; extra
 columns are ignored and may have any name. A pass holds about half a million
 words whatever the length of a text.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .anchors import merge_spans
 from .common import arrow_map, documents, staged
-from .repeats import LAST, keyed, repeated_runs, slices, windows_of, with_spans
+from .repeats import keyed, repeated_runs, slices, windows_of, with_spans
 
 WIDTH = 50
 ANCHOR_WORDS = 8
@@ -135,7 +136,6 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR_WORDS)
                 yield out
 
     rows = with_spans(docs, removed_spans(docs, width, k))
-    rows = rows.select(F.nullif("did", F.lit(LAST)).alias("doc_id"), "text", "starts", "ends")
     return arrow_map(rows, cut, "doc_id long, text string, n_words long, n_removed long, "
                                 "starts array<long>, ends array<long>")
 

@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from .anchors import M1, M2, Digest, merge_spans, mix, spread_runs
 from .common import arrow_map, bits_of, documents, has_bits, staged, whole_groups
 from .induced import MEMORY, suffix_order
-from .repeats import LAST, each_run, keyed, repeated_runs, slices, windows_of, with_spans
+from .repeats import each_run, keyed, repeated_runs, slices, windows_of, with_spans
 
 WIDTH = 200
 ANCHOR_BYTES = 96            # long anchors are rare outside true repeats, also in periodic text
 SHARD_BYTES = 1 << 20
 CONTEXTS = 4096
+MAX_SORT_TASKS = 20_000
 
 _rng = np.random.default_rng(20240229)
 _H1, _H2 = _rng.integers(0, 1 << 64, (2, 256), np.uint64)
@@ -131,10 +132,14 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, k: int = ANCHOR_BYTES, sh
                 text = [text[int(i)].as_buffer() for i in r.row[ok]]
                 cut = [t[int(a):int(a) + int(c) + width - 1].to_pybytes()
                        for t, a, c in zip(text, r.at[ok], r.count[ok], strict=True)]
-                yield {"unit": np.mod(r.anchor[ok], units), "did": r.did[ok], "th": r.th[ok], "s": r.at[ok], "text": cut}
-
-    parts = arrow_map(texts, fragments, "unit long, did long, th long, s long, text binary")
-    parts = parts.repartition("unit").sortWithinPartitions("unit", "did", "th", "s")
+                yield {"unit": np.mod(r.anchor[ok], units), "key": r.key[ok], "did": r.did[ok], "th": r.th[ok], "s": r.at[ok], "text": cut}
+
+    parts = arrow_map(texts, fragments, "unit long, key long, did long, th long, s long, text binary")
+    # the bitmap only spares work: what it lets through besides goes here, before any shard is
+    # gathered, so copies of a passage never come to its shard, however full the bitmap is
+    parts = parts.join(cold.select("key"), "key", "left_semi").drop("key")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(units, MAX_SORT_TASKS))
+    parts = parts.repartition(tasks, "unit").sortWithinPartitions("unit", "did", "th", "s")
     found = arrow_map(parts, _sort_shards(width, memory), "did long, th long, b long, e long")
     return whole.unionByName(counted).unionByName(found)
 
@@ -161,7 +166,6 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
                 yield out
 
     rows = with_spans(docs, removed_spans(docs, width, **options))
-    rows = rows.select(F.nullif("did", F.lit(LAST)).alias("doc_id"), "text", "starts", "ends")
     return arrow_map(rows, cut, "doc_id long, kept binary, n_bytes long, n_removed long, "
                                 "starts array<long>, ends array<long>")
 

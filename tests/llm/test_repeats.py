@@ -60,6 +60,52 @@ def test_byte_dedup_equals_brute_force(spark, wide, contexts):
     assert sorted(map(tuple, out.collect()), key=key) == sorted(brute_bytes(rows, 200), key=key)
 
 
+def test_full_bitmap_brings_no_copies_to_a_shard(spark, monkeypatch):
+    """Every bit set, one passage in very many documents: the shards still get
+    one row per distinct run."""
+    import random
+
+    from passagekit.llm import common
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, other = say(900), say(900)
+    rows = [(i, say(40) + passage + say(40)) for i in range(60)] + [(100 + i, passage) for i in range(60)]
+    rows += [(200 + i, other[:i * 10] + say(3) + other[i * 10:]) for i in range(20)] + [((1 << 63) - 1, passage), (None, passage)]
+    monkeypatch.setattr(common, "FILTER_BITS", 4096 * 8)
+    monkeypatch.setattr(common, "MAX_FILTER_BITS", 4096 * 8)
+    monkeypatch.setattr(common, "has_bits", lambda bitmap, keys: np.ones(len(keys), bool))
+    for m in (suffix_dedup, __import__("passagekit.llm.repeats", fromlist=["x"])):
+        monkeypatch.setattr(m, "has_bits", lambda bitmap, keys: np.ones(len(keys), bool))
+    sorted_rows, reps, own_map, own_stage = [], [], suffix_dedup.arrow_map, suffix_dedup.staged
+
+    def arrow_map(df, fn, schema):
+        if "text" in df.columns and "unit" in df.columns:
+            sorted_rows.append(df.count())
+        return own_map(df, fn, schema)
+
+    def staged(df, name):
+        out = own_stage(df, name)
+        if name == "reps":
+            reps.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "arrow_map", arrow_map)
+    monkeypatch.setattr(suffix_dedup, "staged", staged)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.dedup_bytes(docs)
+    from pyspark.sql import functions as F
+    out = out.select("doc_id", "n_bytes", "n_removed", F.size("starts"), F.sha2("kept", 256))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(brute_bytes(rows, 200), key=key)
+    assert sorted_rows == reps and reps[0] < 1200
+
+
+def test_windows_too_wide_for_the_digests_are_refused():
+    from passagekit.llm.anchors import Runs
+    h = np.arange(5000, dtype=np.uint64)
+    with pytest.raises(ValueError):
+        Runs(h, h, [5000], 1024, 96)
+
+
 def test_word_dedup_equals_brute_force(spark, wide):
     from pyspark.sql import functions as F
     rows = [(r.doc_id, r.text) for r in wide.collect()]
