@@ -37,6 +37,8 @@ SHARDS = 8
 CELL_ROWS = 1 << 10
 MAX_CELLS = 1 << 16          # cells of all shards: bounds the broadcast and each task's draws
 PART_ROWS = 100_000          # rows of a written part: bounds the local permutation
+MAX_PARTS = 1 << 22          # names and sizes of parts that every task gets: bounds that broadcast
+LIMIT = 10 ** 9              # of numpy's exact draws
 OUT = ["law", "shard", "slot", "grown_shard"]
 
 
@@ -46,23 +48,50 @@ def balanced(n: int, k: int) -> np.ndarray:
 
 
 def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
-    """Exact draw; beyond numpy's limit of 1e9 a rounded normal, clipped to the
-    support (there its relative error is below 1e-4)."""
+    """Exact draw. Beyond numpy's limit by inversion: the odds of neighbouring
+    counts are exact ratios, their running products from the mode outwards give
+    all odds down to 1e-30 of the largest."""
     if draws == 0 or good == 0:
         return 0
     if bad == 0:
         return draws
-    n = good + bad
-    if max(good, bad) < 10 ** 9:
+    if max(good, bad) < LIMIT:
         return int(rng.hypergeometric(good, bad, draws))
-    sd = np.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / (n - 1)))
-    return int(np.clip(round(rng.normal(draws * good / n, sd)), max(0, draws - bad), min(good, draws)))
+    n = good + bad
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), low), high)
+    reach = int(12 * (draws / n * good * (bad / n) * ((n - draws) / max(n - 1, 1))) ** 0.5) + 100
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    # odds of k + 1 to k, and of k - 1 to k
+    rise = np.log((good - up) * (draws - up)) - np.log((up + 1) * (bad - draws + up + 1))
+    fall = np.log(down * (bad - draws + down)) - np.log((good - down + 1) * (draws - down + 1))
+    odds = np.exp(np.r_[np.cumsum(fall)[::-1], 0.0, np.cumsum(rise)])
+    total = np.cumsum(odds)
+    return int(mode - len(down) + np.searchsorted(total, rng.random() * total[-1], side="right"))
 
 
 def split_counts(rng, cells: np.ndarray, draws: int) -> np.ndarray:
-    """Multivariate hypergeometric: ``draws`` places out of ``cells``."""
-    if cells.sum() < 10 ** 9:
+    """Multivariate hypergeometric: ``draws`` places out of ``cells``. Places of
+    more than numpy's limit are drawn for groups of cells first."""
+    if cells.sum() < LIMIT:
         return rng.multivariate_hypergeometric(cells, draws, method="marginals")
+    groups = (np.cumsum(cells) - cells) // (LIMIT // 2)
+    out, rest, left = np.zeros_like(cells), int(cells.sum()), draws
+    for g in np.unique(groups):
+        own = np.flatnonzero(groups == g)
+        size = int(cells[own].sum())
+        rest -= size
+        k = _hypergeometric(rng, size, rest, left)
+        left -= k
+        if len(own) == 1:
+            out[own] = k
+        else:
+            out[own] = split_counts(rng, cells[own], k) if size < LIMIT else _one_by_one(rng, cells[own], k)
+    return out
+
+
+def _one_by_one(rng, cells: np.ndarray, draws: int) -> np.ndarray:
     out, rest = np.zeros_like(cells), int(cells.sum())
     for i, c in enumerate(cells.tolist()):
         rest -= c
@@ -98,6 +127,8 @@ def shard_rows(docs: DataFrame, n_shards: int = SHARDS, seed: int = 0, cell_rows
                     F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("place")))
     # the driver sees one number per written part
     files = sorted((r[0], r[1]) for r in rows.groupBy("part").agg(F.count(F.lit(1))).collect())
+    if len(files) > MAX_PARTS:
+        raise ValueError("too many parts: raise PART_ROWS")
     n = sum(c for _, c in files)
     sizes = balanced(n, n_shards)
     per = max(1, min(-(-int(sizes.max()) // cell_rows), MAX_CELLS // n_shards))
