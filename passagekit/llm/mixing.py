@@ -9,13 +9,13 @@ parent's siblings, because each parent's own limit is the sum of its children's.
 A leaf's budget buys whole passes over its documents and then the prefix, by
 tokens, of one more pass in a seeded hash order. The prefix is found with two
 aggregates instead of a sort of the leaf: tokens per hash bucket locate the
-bucket where the budget ends, and only that bucket's rows are ranked. A leaf
-with a third of all rows is therefore never in one task.
+bucket where the budget ends, further hash digits split that bucket until it
+holds at most ``EDGE_ROWS`` rows, and only those are ranked. A leaf with a third
+of all rows is therefore never in one task, whatever the number of rows.
 
-Defined results: null and empty texts hold 0 tokens, and rows of 0 tokens that
-come first in the order fit into any rest, so the plan may count one pass more
-for them than ``max_epochs`` (:func:`mix` takes them ``max_epochs`` times), and
-one pass for a leaf without tokens; null domain, language or
+Defined results: null and empty texts hold 0 tokens, so rows of 0 tokens that
+come first in the order fit into any rest; no row is taken more than
+``max_epochs`` times; a leaf without tokens is taken once; null domain, language or
 source counts as the empty name; rows that repeat an id (or lack one) share a
 place in the order and are taken together or not at all; an empty table gives
 an empty result; extra columns pass through.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, staged
 
-BUCKETS = 3                  # hexadecimal digits: 4096 hash buckets a leaf
+BUCKETS = 3                  # hexadecimal digits: 4096 hash buckets a leaf, as many in each further split
+EDGE_ROWS = 10_000           # rows ranked in one task
+DIGITS = 32                  # of a hash
 LEAF_BROADCAST = 100_000     # leaves (about 100 bytes each) that may be broadcast, checked by a count
 LEVELS = ["domain", "lang", "source"]
 
@@ -109,31 +111,41 @@ def plan_mixture(docs: DataFrame, domain: Column, total_share: float = 1.0, max_
     small = leaves.count() <= LEAF_BROADCAST
     put = F.broadcast if small else (lambda x: x)
     key = order_key(seed, F.col("passes"), F.col("id"))
-    keyed = slim.join(put(leaves), LEVELS).withColumn("h", key).withColumn("bucket", F.substring("h", 1, BUCKETS))
-    per_bucket = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    edge = (per_bucket.withColumn("upto", upto)
-            .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")))
-            .select(*LEVELS, F.col("bucket").alias("edge"), (F.col("upto") - F.col("t")).alias("before")))
-    edge = staged(edge, "edge")
-    # inside the bucket where the budget ends: equal places share one running sum
+    keyed = slim.join(put(leaves), LEVELS).withColumn("h", key)
+    digits, within = BUCKETS, keyed.withColumn("before", F.lit(0).cast("long"))
+    while True:
+        bucket = F.substring("h", 1, digits)
+        per_bucket = within.groupBy(*LEVELS, "rest", "before", bucket.alias("bucket")).agg(
+            F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        upto = F.col("before") + F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
+        edge = (per_bucket.withColumn("upto", upto)
+                .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")))
+                .select(*LEVELS, F.col("bucket").alias("edge"), (F.col("upto") - F.col("t")).alias("before"), "n"))
+        edge = staged(edge, "edge")
+        # rows of the bucket where each leaf's budget ends
+        within = keyed.join(put(edge), LEVELS).where(F.substring("h", 1, digits) == F.col("edge"))
+        if (edge.agg(F.max("n")).first()[0] or 0) <= EDGE_ROWS or digits >= DIGITS:
+            break
+        within = within.drop("edge", "n")
+        digits = min(digits + BUCKETS, DIGITS)
+    edge = edge.drop("n")
+    # equal places share one running sum
     run = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("h", "id"))
-    last = (keyed.join(put(edge), LEVELS).where(F.col("bucket") == F.col("edge"))
-            .withColumn("upto", F.col("before") + run).where(F.col("upto") <= F.col("rest"))
+    last = (within.withColumn("upto", F.col("before") + run).where(F.col("upto") <= F.col("rest"))
             .groupBy(*LEVELS).agg(F.max("h").alias("last")))
     cut = staged(leaves.join(edge, LEVELS, "left").join(last, LEVELS, "left"), "cut")
     # without an edge the leaf holds no tokens: the extra pass takes all of it
-    taken = ((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.col("h") <= F.col("last"))))
-    return (rows.join(put(cut), LEVELS).withColumn("h", key).withColumn("bucket", F.substring("h", 1, BUCKETS))
-            .withColumn("copies", F.col("passes").cast("int") + (F.col("edge").isNull() | F.coalesce(taken, F.lit(False))).cast("int"))
+    bucket = F.substring("h", 1, digits)
+    taken = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & (F.col("h") <= F.col("last")))
+    copies = F.col("passes") + (F.col("edge").isNull() | F.coalesce(taken, F.lit(False))).cast("long")
+    return (rows.join(put(cut), LEVELS).withColumn("h", key)
+            .withColumn("copies", F.least(copies, F.lit(max_epochs)).cast("int"))
             .select("row", *LEVELS, "tokens", "budget", "copies"))
 
 
 def mix(docs: DataFrame, domain: Column, max_epochs: int = MAX_EPOCHS, **options) -> DataFrame:
-    """The mixture: rows of ``docs``, once per epoch that takes them, and in
-    ``max_epochs`` epochs at most."""
-    plan = plan_mixture(docs, domain, max_epochs=max_epochs, **options)
-    plan = plan.withColumn("copies", F.least("copies", F.lit(max_epochs))).where("copies > 0")
+    """The mixture: rows of ``docs``, once per epoch that takes them."""
+    plan = plan_mixture(docs, domain, max_epochs=max_epochs, **options).where("copies > 0")
     return plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("row.*")
 
 
@@ -173,6 +185,7 @@ k AS (SELECT r.*, budget, passes, budget - passes * supply AS rest,
              md5('0:' || passes::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS h
       FROM r JOIN bud USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, tokens, budget,
-       (passes + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
+       least(passes + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id) <= rest THEN 1 ELSE 0 END,
+             {MAX_EPOCHS})::INTEGER AS copies
 FROM k
 """

@@ -16,6 +16,49 @@ def test_matrix_has_exact_sums_and_uniform_cells():
     assert np.abs(total / 400 - np.outer(parts, cells) / 65).max() < 0.35
 
 
+def test_draws_beyond_numpys_limit_follow_the_same_law(monkeypatch):
+    """Inversion and group draws, forced by a low limit, against exact odds."""
+    from math import comb
+    good, bad, draws, n = 9, 14, 8, 6000
+    monkeypatch.setattr(sharding, "LIMIT", 4)
+    rng = np.random.default_rng(5)
+    got = np.bincount([sharding._hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=9)
+    want = np.array([comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(9)])
+    assert np.abs(got / n - want).max() < 0.025
+    cells, pairs = np.array([3, 0, 5, 1, 2]), {}
+    for _ in range(n):
+        x = sharding.split_counts(rng, cells, 4)
+        assert x.sum() == 4 and (x <= cells).all()
+        pairs[tuple(x)] = pairs.get(tuple(x), 0) + 1
+    for x, k in pairs.items():                   # the joint law, not only each cell's
+        p = np.prod([comb(int(c), int(y)) for c, y in zip(cells, x)]) / comb(11, 4)
+        assert abs(k / n - p) < 0.025
+    assert len(pairs) == sum(1 for a in range(4) for c in range(5) for d in range(2) for e in range(3) if a + c + d + e == 4)
+
+
+def test_very_large_draws():
+    rng = np.random.default_rng(6)
+    good, bad, draws = 3 * 10 ** 11, 7 * 10 ** 11, 10 ** 10
+    x = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(60)], float)
+    sd = (draws * 0.3 * 0.7 * 0.99) ** 0.5
+    assert abs(x.mean() - 3 * 10 ** 9) < 5 * sd / 60 ** 0.5 and 0.7 < x.std() / sd < 1.3
+    cells = sharding.balanced(5 * 10 ** 9, 40)
+    m = sharding.split_counts(rng, cells, 2 * 10 ** 9)
+    assert m.sum() == 2 * 10 ** 9 and (m <= cells).all() and np.abs(m / cells - 0.4).max() < 1e-3
+
+
+def test_joint_law_of_the_matrix():
+    """Every 2 x 2 matrix comes as often as the uniform shuffle has it."""
+    from math import comb
+    parts, cells, n = np.array([4, 3]), np.array([5, 2]), 4000
+    seen = {}
+    for seed in range(n):
+        a = int(sharding.matrix_row(parts, cells, 0, seed)[0])
+        seen[a] = seen.get(a, 0) + 1
+    want = {a: comb(5, a) * comb(2, 4 - a) / comb(7, 4) for a in range(2, 5)}
+    assert set(seen) == set(want) and all(abs(seen[a] / n - p) < 0.03 for a, p in want.items())
+
+
 def test_shards_are_exact_gapless_and_keep_rows(spark, wide, monkeypatch):
     monkeypatch.setattr(sharding, "PART_ROWS", 7)
     for rows, most in ((wide, 1 << 16), (wide, 8), (wide.where("doc_id = 3"), 16), (wide.where("false"), 16)):
@@ -102,5 +145,19 @@ def test_leaves_without_tokens_and_leaves_bought_out(spark):
     domain = mixing.domain_of(F.col("source"))
     plan = mixing.plan_mixture(docs, domain).select("row.doc_id", *cols[1:])
     assert sorted(map(tuple, plan.collect())) == sorted(db.execute(f"SELECT {', '.join(cols)} FROM ({mixing.ORACLE})").fetchall())
+    assert max(r.copies for r in plan.collect()) <= mixing.MAX_EPOCHS
     out = [r.doc_id for r in mixing.mix(docs, domain, total_share=1.0, max_epochs=1).collect()]
     assert sorted(out) == [r[0] for r in rows]
+
+
+def test_edge_bucket_is_split_until_it_is_small(spark, monkeypatch):
+    """Short prefixes and a low bound: the descent goes several digits deeper and
+    the plan stays the same."""
+    rows = [(i if i % 50 else 7, "w " * (i % 9), ["en", "de"][i % 2], f"src{i % 2}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plan = lambda: sorted(map(tuple, mixing.plan_mixture(docs, mixing.domain_of(F.col("source")), 0.6, 1)
+                              .select("row.doc_id", *mixing.LEVELS, "tokens", "budget", "copies").collect()))
+    want = plan()
+    monkeypatch.setattr(mixing, "BUCKETS", 1)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 2)
+    assert plan() == want and {r[-1] for r in want} == {0, 1}
