@@ -211,15 +211,15 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row per group: of the rows with the group's smallest id
-    the one whose text has the smallest digest. Rows that share an id but not a
-    group are told apart by their text. Of a group's rows without an id one
-    stays besides."""
+    the one whose text has the smallest digest; a row without an id only where no
+    row of the group has one. Rows that share an id but not a group are told
+    apart by their text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     fps = staged(fingerprints(rows, shingle, ["th"]), "fingerprints")
-    first = _grouped(fps, radius).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    keep = staged(first.groupBy("root", "doc_id").agg(F.min("th").alias("t"))
-                  .select(F.col("doc_id").alias("id"), "t").distinct(), "keep")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
+    keep = staged(_grouped(fps, radius).groupBy("root").agg(best)
+                  .select(F.col("best.doc_id").alias("id"), F.col("best.th").alias("t")), "keep")
     one = rows.select("row", "doc_id", "th").join(
         keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")), "left_semi")
     return one.dropDuplicates(["doc_id", "th"]).select("row.*")
