@@ -11,10 +11,14 @@ alignment with free ends in the text.
 
 The benchmark is the stated query set: it is read in blocks of bounded size,
 each broadcast to one map-only pass over the texts; no text is ever shuffled.
+With several blocks each one's result is written before the next block is read,
+so one index is held at a time.
 
-Defined results: null and empty texts match nothing; items shorter than
-``MIN_ITEM`` normalised characters (null ones included) carry too little text to
-call a copy a leak and are skipped; repeated rows are judged alike; repeated
+Items shorter than ``MIN_EDITED`` normalised characters are matched unchanged
+(edit budget 0); those shorter than a q-gram, which any text may hold by chance,
+match a text that consists of them alone.
+
+Defined results: null and empty texts and items match nothing; repeated rows are judged alike; repeated
 items each report; extra columns pass through. Long texts are counted in pieces
 and aligned region by region.
 """
@@ -31,12 +35,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .anchors import M1, M2, Digest
-from .common import arrow_map, documents, table
+from .common import arrow_map, documents, staged, table
 from .repeats import SLICE_BYTES, slices
 
 Q = 12
 EDIT_RATE = 0.05
-MIN_ITEM = 40
+MIN_EDITED = 40               # items below are matched unchanged
 BLOCK_CHARS = 2_000_000      # benchmark characters broadcast at once
 _TABLE_BITS = 22
 _PIECE = 1 << 18             # text characters counted at once
@@ -80,10 +84,15 @@ class Index:
     """Q-grams of one block of benchmark items: ``[(item id, text), ...]``."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE):
-        items = [(i, n) for i, t in items if len(n := normalise(t)) >= MIN_ITEM]
+        items = [(i, n) for i, t in items if (n := normalise(t))]
+        self.whole: dict[str, list[int]] = {}                  # items shorter than a q-gram
+        for i, n in items:
+            if len(n) < Q:
+                self.whole.setdefault(n, []).append(i)
+        items = [(i, n) for i, n in items if len(n) >= Q]
         self.ids = [i for i, _ in items]
         self.items = [codes(t) for _, t in items]
-        self.edits = np.array([min(int(rate * len(c)), len(c) // Q - 1) for c in self.items], np.int64)
+        self.edits = np.array([min(int(rate * len(c)), len(c) // Q - 1) if len(c) >= MIN_EDITED else 0 for c in self.items], np.int64)
         self.least = np.array([len(c) + 1 - Q * (e + 1) for c, e in zip(self.items, self.edits, strict=True)], np.int64)
         g = [grams(c) for c in self.items]
         every = np.concatenate([*g, np.zeros(0, np.uint64)])
@@ -156,7 +165,10 @@ class Index:
                 begins.insert(at, row[2])
                 ends_.insert(at, row[3])
                 out.append(row)
-        return [(i, self.ids[item], b, f, d) for i, item, b, f, d in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
+        out = [(i, self.ids[item], b, f, d) for i, item, b, f, d in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
+        if self.whole:
+            out += [(i, item, 0, len(t), 0) for i, t in enumerate(texts) for item in self.whole.get(t, [])]
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, e: int):
@@ -197,7 +209,7 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, e: int):
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The benchmark in hash blocks of about ``BLOCK_CHARS`` characters."""
-    b = benchmark.where(F.length("text") >= MIN_ITEM).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    b = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = b.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = -(-size // BLOCK_CHARS)
     return [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
@@ -214,8 +226,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
     places in the normalised text."""
     schema = "doc_id long, item_id long, begin long, end long, edits long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for block in blocks(benchmark):
+    found, own = [], blocks(benchmark)
+    several = len(own) > 1
+    for block in own:
         index = _index(block, rate)
 
         def run(batches, index=index):
@@ -227,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
                         yield dict(zip(("doc_id", "item_id", "begin", "end", "edits"),
                                        map(list, zip(*rows, strict=True)), strict=True))
 
-        found.append(arrow_map(texts, run, schema))
+        found.append(_settled(arrow_map(texts, run, schema), index, several, "leaks"))
     if not found:
         return texts.where(F.lit(False)).selectExpr("doc_id", *[f"CAST(NULL AS BIGINT) AS {c}" for c in
                                                                ("item_id", "begin", "end", "edits")])
@@ -235,12 +248,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; map-only."""
-    for block in blocks(benchmark):
-        docs = docs.where(~_leaks(_index(block, rate))(F.col("text")))
+    """``docs`` without the documents that hold a benchmark item."""
+    own = blocks(benchmark)
+    for block in own:
+        index = _index(block, rate)
+        docs = _settled(docs.where(~_leaks(index)(F.col("text"))), index, len(own) > 1, "clean")
     return docs
 
 
+def _settled(df: DataFrame, index, several: bool, name: str) -> DataFrame:
+    """``df``, written if another block's index comes after this one's."""
+    if not several:
+        return df
+    out = staged(df, name)
+    index.destroy()
+    return out
+
+
 def _leaks(index):
     @F.pandas_udf("boolean")
     def leaks(text: pd.Series) -> pd.Series:

@@ -178,7 +178,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "s")
     rows = rows.select("doc_id", "q", *[f(F.col("s")).cast("double").alias(n) for n, f in FEATURES.items()])
-    got = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    # where an id repeats with different texts, the one with the smallest statistics trains
+    first = F.min(F.struct("q", *FEATURES)).alias("r")
+    got = rows.groupBy("doc_id").agg(first).orderBy("doc_id").select("doc_id", "r.*").toPandas()
     return {f: got[f].to_numpy(float) for f in FEATURES}, (got["q"] == 0).to_numpy(bool)
 
 

@@ -37,7 +37,8 @@ def want(docs, items):
     for i, t in docs:
         for k, x in items:
             n = d.normalise(x)
-            if len(n) >= d.MIN_ITEM and edits(n, d.normalise(t)) <= min(int(d.EDIT_RATE * len(n)), len(n) // d.Q - 1):
+            budget = min(int(d.EDIT_RATE * len(n)), len(n) // d.Q - 1) if len(n) >= d.MIN_EDITED else 0
+            if n and (edits(n, d.normalise(t)) <= budget if len(n) >= d.Q else d.normalise(t) == n):
                 out.add((i, k))
     return out
 
@@ -59,6 +60,20 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want(docs, items)}
 
 
+def test_short_items_repeated_rows_and_ids(spark):
+    items = [(1, "Exactly  this Line"), (2, "yes"), (3, "no"), (4, "x" * 39), (5, "Exactly this line"), (5, "yes")]
+    docs = [(1, "before EXACTLY this line\nafter"), (2, "exactly this lime"), (3, "Yes "), (4, "yes, but more"), (5, "no\n"), (6, "x" * 38 + "y"),
+            (7, "a " + "x" * 39), (7, "clean"), (7, "a " + "x" * 39), (None, "NO")]
+    frame = spark.createDataFrame([(*r, 0, "b") for r in docs], "doc_id long, text string, begin int, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [(r.doc_id, r.item_id, r.edits) for r in d.find_leaks(frame, bench).collect()]
+    want_ = [(1, 1, 0), (1, 5, 0), (3, 2, 0), (3, 5, 0), (5, 3, 0), (7, 4, 0), (7, 4, 0), (None, 3, 0)]
+    assert sorted(found, key=str) == sorted(want_, key=str)
+    kept = d.drop_leaks(frame, bench)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, docs[1][1]), (4, docs[3][1]), (6, docs[5][1]), (7, "clean")]
+
+
 def test_empty(spark, empty):
     bench = spark.createDataFrame([(1, "a" * 50)], "item_id long, text string")
     assert d.find_leaks(empty, bench).collect() == []
