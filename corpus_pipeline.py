@@ -3,6 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each stage's result to the shared folder and reads it back as the next
 stage's input, so a lost executor never repeats an earlier stage.
+
+Defined results: rows with a null, empty or blank text fail the base rule of the
+first stage and go; nulls in other columns are carried along, a null language or
+source mixes as the empty name; of rows that copy each other, with or without an
+id, one stays; rows that share an id but not a text are separate documents; an
+empty table gives an empty result with the columns of the last stage; extra
+columns pass through all stages, whatever their names, except that the last one
+replaces columns named like its own (``law``, ``shard``, ``slot``, ``grown_shard``).
 """
 
 from __future__ import annotations
