@@ -2,7 +2,9 @@
 
 Detected entities are replaced by keyed stand-ins of the same type: e-mail
 addresses, telephone, card and social security numbers, IBANs, IPv4 addresses,
-access tokens and names after a form of address. A stand-in keeps the format
+access tokens and names. A name is known by a form of address before it; in the
+same document it is then replaced wherever it stands, so that no mention keeps the
+real name beside the stand-in. A stand-in keeps the format
 (separators, letter case, length; a Luhn-valid card stays valid, octets stay
 below 256), a name's gender and script, and depends on the key and the entity's
 canonical form only, so all mentions of an entity in the corpus agree, however
@@ -41,13 +43,14 @@ FORMATS = {
     "ipv4": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
 }
 _NAME = r"\p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)*+"
-MALE = r"(?<=(?<![\p{L}])(?:Mr|Herr|Monsieur|Sr|Señor)\.? )(" + _NAME + ")"
-FEMALE = r"(?<=(?<![\p{L}])(?:Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora)\.? )(" + _NAME + ")"
+MALE = r"(?<=(?<![\p{L}])(?:Mr|Herr|Monsieur|Sr|Señor|г-н|[Гг]осподин)\.? )(" + _NAME + ")"
+FEMALE = r"(?<=(?<![\p{L}])(?:Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|г-жа|[Гг]оспожа)\.? )(" + _NAME + ")"
 PATTERN = "|".join([*FORMATS.values(), MALE, FEMALE])
 
 # A cheap pattern that every entity contains, tried first: most texts have none.
 HINT = (r"@|[0-9]{2}|[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
-        r"|(?:M[rsiomae]|Herr|Frau|S[re])[a-zñ]{0,7}\.? \p{Lu}")
+        r"|(?:M[rsiomae]|Herr|Frau|S[re])[a-zñ]{0,7}\.? \p{Lu}|(?:г-н|г-жа|осподин|оспожа)\.? \p{Lu}")
+KEY = "spark.passagekit.surrogates.key"     # setting that holds the secret key
 
 # Given names by gender and script, and syllables for family names.
 GIVEN = {
@@ -217,19 +220,33 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     groups = [F.regexp_extract_all("text", F.lit(PATTERN), F.lit(i)) for i in range(3)]
     found = some.select("doc_id", "th", F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(
         groups, ("raw", "male", "female"), strict=True)])).alias("pos", "m"))
-    mentions = staged(found.select(
+    titled = staged(found.select(
         "doc_id", "th", "pos", F.col("m.raw").alias("raw"), kind_of(F.col("m.raw"), F.col("m.male"), F.col("m.female")).alias("kind"),
-        F.when(F.col("m.female") != "", "f").when(F.col("m.male") != "", "m").alias("gender")).distinct(), "mentions")
-    table = entity_table(mentions, key)
+        F.when(F.col("m.female") != "", "f").when(F.col("m.male") != "", "m").alias("gender")).distinct(), "titled")
+    # a document's known names, longest first: they stand for their person without a form of address too
+    names = titled.where("kind = 'name'").select("doc_id", "th", F.struct((-F.length("raw")).alias("n"), "raw").alias("name"))
+    known = staged(names.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("name")).alias("names")).select(
+        F.col("doc_id").alias("id"), F.col("th").alias("t"),
+        F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join("names.raw", "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("pattern")), "known")
+    of_doc = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t"))
+    named = some.join(known, of_doc)
+    again = named.select("doc_id", "th", F.posexplode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("pos", "raw"))
+    # what fits no format is a name
+    again = staged(again.distinct().withColumn("kind", kind_of(F.col("raw"), F.lit(""), F.lit(""))), "again")
+    others = titled.join(known, of_doc, "left_anti")
+    cols = ["doc_id", "th", "pos", "raw", "kind"]
+    mentions = others.select(*cols).unionByName(again.select(*cols))
+    spelled = titled.select("kind", "raw", "gender").unionByName(again.select("kind", "raw", F.lit(None).cast("string").alias("gender")))
+    table = entity_table(spelled, key)
     per_doc = staged(mentions.join(table, ["kind", "raw"]).groupBy("doc_id", "th")
                      .agg(F.sort_array(F.collect_list(F.struct("pos", "sur"))).alias("s"))
                      .select(F.col("doc_id").alias("id"), F.col("th").alias("t"), F.col("s.sur").alias("sur")), "per_doc")
-    changed = some.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")))
-    gaps = F.split("text", PATTERN, -1)
+    changed = some.join(per_doc, of_doc).drop("id", "t").join(known, of_doc, "left")
+    gaps = F.split("text", F.coalesce("pattern", F.lit(PATTERN)), -1)
     text = F.array_join(F.zip_with(gaps, "sur", lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     changed = changed.select("doc_id", text.alias("text"), F.size("sur").alias("n_entities"))
     return changed.unionByName(rows.where(~has).select("doc_id", "text", F.lit(0).alias("n_entities")))
 
 
 def op10_surrogates(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir), "key of the documents table")
+    return pseudonymise(documents(spark, sf_dir), spark.conf.get(KEY, "no secret: set " + KEY))

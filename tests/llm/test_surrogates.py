@@ -104,3 +104,75 @@ def test_other_layouts_go_whole(spark):
         assert len(new.split()) == len(name.split()) and not set(new.split()) & set(name.split())
     assert (out[90].text, out[90].n_entities) == (rows[-2][1], 0)
     assert out[91].n_entities == 1 and "Aa" not in out[91].text
+
+
+def test_known_names_go_without_their_form_of_address(spark):
+    rows = [(1, "Mr. John Smith came. John Smith said, and John Smithson heard; Smith left."), (2, "John Smith is not known here."),
+            (3, "г-н Иван Петров и госпожа Анна Петрова; Иван Петров ушёл"), (4, "Frau Ann-Marie Low, ann-marie low, Ann-Marie Low. Call 555-123-4567")]
+    out = {r.doc_id: r for r in s.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    one = re.fullmatch(r"Mr\. (.+) came\. (.+) said, and John Smithson heard; Smith left\.", out[1].text)
+    assert one[1] == one[2] != "John Smith" and out[1].n_entities == 2
+    assert out[2].text == rows[1][1]
+    three = re.fullmatch(r"г-н (.+) и госпожа (.+); (.+) ушёл", out[3].text)
+    assert three[1] == three[3] and "Петров" not in out[3].text and "Иван Петров" not in out[3].text
+    assert three[1].split()[0] in s.GIVEN["m", "cyrillic"] and three[2].split()[0] in s.GIVEN["f", "cyrillic"]
+    four = re.fullmatch(r"Frau (.+), ann-marie low, (.+)\. Call \d{3}-\d{3}-\d{4}", out[4].text)
+    assert four[1] == four[2] != "Ann-Marie Low"
+
+
+def test_against_a_plain_version(spark):
+    """Detection by the fixed formats in plain Python, then: what lies between
+    mentions is unchanged, one stand-in per entity in the whole corpus, no two
+    entities with one, and none that is a real entity."""
+    import random
+
+    import regex
+    rng = random.Random(12)
+    people = [f"{a} {b}" for a in ("John", "Anna", "Ewa") for b in ("Smith", "Weiß", "Low-Reed")]
+    pool = ["a.b@c.de", "A.B@C.DE", "x_1@mail.example.org", "+1 (017) 555-7713", "+1 (017) 5557713", "4539 5787 6362 1486", "4539578763621486",
+            "123-45-6789", "DE89 3704 0044 0532 0130 00", "97.51.17.173", "0123456789abcdef" * 2, *people]
+    say = lambda: " ".join(rng.choice(["so", "it", "Went", "on", "12", "3.4", "and"]) for _ in range(rng.randint(1, 6)))
+    rows = []
+    for i in range(80):
+        parts = [say()]
+        for _ in range(rng.randint(0, 5)):
+            x = rng.choice(pool)
+            parts += [rng.choice(["Mr. ", "Mrs ", ""]) + x + rng.choice([",", ";"]) if x in people else x, say()]
+        rows.append((i, " ".join(parts)))
+    rows += [rows[3], (None, rows[5][1]), (200, None), (201, "")]
+    out = s.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert len(out) == len(rows)
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, r)
+    stand_in, kinds = {}, [(k, regex.compile(f"^(?:{v})$")) for k, v in s.FORMATS.items()]
+
+    def entity(raw):
+        kind = next((k for k, v in kinds if v.match(raw)), "name")
+        canon = regex.sub("[^0-9]", "", raw) if kind in ("phone", "card", "ssn") else raw.lower().replace(" ", "") if kind == "iban" else raw.lower()
+        return kind, canon
+
+    for i, text in rows:
+        if not text:
+            assert got[i].text == text
+            continue
+        names = {m[0] for m in regex.finditer(s.MALE + "|" + s.FEMALE, text)}
+        pattern = s.PATTERN + "".join(rf"|(?<![\p{{L}}\p{{N}}]){regex.escape(n)}(?![\p{{L}}\p{{N}}])" for n in sorted(names, key=lambda n: (-len(n), n)))
+        found = [(m.start(), m.end()) for m in regex.finditer(pattern, text)]
+        assert got[i].n_entities == len(found), text
+        new, at, end = got[i].text, 0, 0
+        for n, (b, e) in enumerate(found):
+            gap = text[end:b]
+            assert new.startswith(gap, at), (text, new)
+            at += len(gap)
+            after = text[e:found[n + 1][0]] if n + 1 < len(found) else text[e:]
+            stop = new.index(after, at + 1) if after and n + 1 < len(found) else len(new) - len(after)
+            kind, canon = entity(text[b:e])
+            mine = entity(new[at:stop])[1] if kind in ("phone", "card", "ssn", "iban") else new[at:stop].lower()
+            assert stand_in.setdefault((kind, canon), mine) == mine, (text, new)
+            at, end = stop, e
+        assert new[at:] == text[end:]
+    for kind in {k for k, _ in stand_in}:
+        real = {c for k, c in stand_in if k == kind}
+        fake = [v for (k, _), v in stand_in.items() if k == kind]
+        assert len(fake) == len(set(fake)) and not real & set(fake)
