@@ -46,3 +46,5 @@ def test_stream_state_dedup(spark):
     assert got.count() == got.select("h").distinct().count()
     batch = corpus.clean_sections(extract_api(bodies).where(F.col("text") != ""))
     assert got.count() == batch.select("text").distinct().count()
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in plan and "EventTimeWatermark" in plan      # state does not grow for ever
