@@ -10,6 +10,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from passagekit.plans import registry
+from passagekit.plans.context import Inputs
 from passagekit.plans.oracle import oracle_sql
 from passagekit.plans.registry import QUERIES
 
@@ -36,6 +38,15 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_corpus():
+    """The queries' common inputs are built once for the module."""
+    made = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(registry, "_i", lambda spark, d: made.setdefault(d, Inputs(spark, d)))
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
