@@ -45,6 +45,7 @@ ROUNDS = 8                    # of the centroid fit
 MAX_BOUNDS_BYTES = 256 << 20  # centroids, pivots and ranges on every executor
 VECTORS_PER_BLOCK = 100_000
 QUERIES_PER_BLOCK = 8192
+VISIT_BLOCK = 256
 NO_CELL = -1                  # cell of vectors with a NaN component
 TABLES, MAX_BITS = 2, 12
 BUCKET_ROWS = 256             # vectors of a bucket, while MAX_BITS allows
@@ -265,21 +266,23 @@ def _visits(queries: DataFrame, index: CellIndex, k: int, limits: bool) -> DataF
         bounds = shared.value
         for b in batches:
             v = _matrix(b.column("embedding"))
-            fine = np.flatnonzero(_finite(v))
-            if not len(fine) or not len(bounds.rows):
-                continue
-            low, order, first = bounds.first(v[fine], k)
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
-            ask = place < first[:, None]
-            if limits:
-                limit = b.column("limit").to_numpy(zero_copy_only=False)[fine]
-                # distances are compared after rounding to six digits
-                ask = ~ask & (low ** 2 <= (limit + 2e-6)[:, None])
-            q, c = np.nonzero(ask)
-            rows = pa.array(fine[q])
-            yield pa.RecordBatch.from_pydict({"prompt_id": b.column("prompt_id").take(rows), "embedding": b.column("embedding").take(rows),
-                                              "cell": pa.array(bounds.cells[c].astype(np.int32))})
+            all_fine = np.flatnonzero(_finite(v)) if len(bounds.rows) else np.zeros(0, np.int64)
+            # a few hundred queries at once: (queries x cells) numbers are held
+            for fine in np.split(all_fine, range(VISIT_BLOCK, len(all_fine), VISIT_BLOCK)):
+                if not len(fine):
+                    continue
+                low, order, first = bounds.first(v[fine], k)
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+                ask = place < first[:, None]
+                if limits:
+                    limit = b.column("limit").to_numpy(zero_copy_only=False)[fine]
+                    # distances are compared after rounding to six digits
+                    ask = ~ask & (low ** 2 <= (limit + 2e-6)[:, None])
+                q, c = np.nonzero(ask)
+                rows = pa.array(fine[q])
+                yield pa.RecordBatch.from_pydict({"prompt_id": b.column("prompt_id").take(rows), "embedding": b.column("embedding").take(rows),
+                                                  "cell": pa.array(bounds.cells[c].astype(np.int32))})
 
     return queries.mapInArrow(run, "prompt_id long, embedding array<float>, cell int")
 
@@ -313,7 +316,8 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int = 20, **tiles) ->
     # what has no distance: NaN vectors where finite ones are fewer than k, and all vectors for a NaN query
     nan_query = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     first_ids = lambda v: kept(v.select("id").orderBy("id").limit(k), f"ids-{v is vectors}")
-    found = found.unionByName(_nan_candidates(q.where(nan_query), first_ids(vectors)))
+    if not q.where(nan_query).isEmpty():
+        found = found.unionByName(_nan_candidates(q.where(nan_query), first_ids(vectors)))
     if int(index.bounds.rows.sum()) < k:
         found = found.unionByName(_nan_candidates(q.where(~nan_query), first_ids(vectors.where(F.col("cell") == NO_CELL))))
     hits = _rank(found, k, ["prompt_id"]).select("prompt_id", "rank", "id", "dist")

@@ -135,7 +135,8 @@ def search_bytes(queries: DataFrame, index: ByteIndex, k: int = 20, **tiles) ->
     exact = (index.full.join(pairs, "id").withColumnRenamed("embedding", "vec").join(q, "prompt_id")
              .select("prompt_id", "id", (F.round(sq_l2(F.col("embedding"), F.col("vec")), 6) + F.lit(0.0)).alias("dist")))
     first_ids = lambda v, name: kept(v.select("id").orderBy("id").limit(k), name)
-    exact = exact.unionByName(_nan_candidates(q.where(nan_query), first_ids(index.full, "ids")))
+    if not q.where(nan_query).isEmpty():
+        exact = exact.unionByName(_nan_candidates(q.where(nan_query), first_ids(index.full, "ids")))
     if index.codes.count() < k:
         rest = index.full.join(index.codes.select("id"), "id", "left_anti")
         exact = exact.unionByName(_nan_candidates(q.where(~nan_query), first_ids(rest, "rest")))
