@@ -414,7 +414,7 @@ def probes_for(queries: DataFrame, index: BucketIndex, k: int, recall: float, sa
     neighbours, measured on at most ``sample`` queries."""
     spark = queries.sparkSession
     own = hashed_sample(queries, "prompt_id", sample, queries.count()).toArrow()
-    tuning = spark.createDataFrame(own.to_pandas(), "prompt_id long, embedding array<float>")
+    tuning = spark.createDataFrame(own, "prompt_id long, embedding array<float>")
     exact = knn(tuning, index.stored.select("id", "embedding"), k)
     near = exact.select("prompt_id", "id").join(index.stored.select("id", "codes"), "id").toArrow()   # sample x k rows
     if not near.num_rows:

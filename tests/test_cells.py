@@ -90,6 +90,21 @@ def test_bucket_search_meets_its_recall(spark, clustered):
     assert rows(everything) == rows(exact)
 
 
+def test_probes_are_fitted_whatever_the_session_does_with_pandas(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 6)).astype(np.float32)
+    vs, qs = frame(spark, v, range(300), "id"), frame(spark, v[:12], range(12), "prompt_id")
+    index = cells.build_bucket_index(vs, scratch_path(spark, "t-buckets"), bits=3)
+    want = cells.probes_for(qs, index, 5, 0.95)
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")                                    # Spark's default
+    try:
+        assert cells.probes_for(qs, index, 5, 0.95) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_probing_order_is_by_distance_to_the_bucket():
     sides = np.array([[0.5, -0.1, 2.0]])
     miss = cells._misses(sides)[0]
