@@ -40,8 +40,8 @@ from ..functions.arith import idiv
 from ..session import scratch_path, ship_package
 
 MAX_BROADCAST_BYTES = 64 << 20     # query matrix kept on every executor
-QUERY_SUBBLOCK = 1024               # queries scored together in one product
-VECTOR_SUBBLOCK = 8192              # vectors scored together in one product
+QUERY_SUBBLOCK = 128                # queries scored together in one product: a few matrices
+VECTOR_SUBBLOCK = 8192              # of 128 x 8192 numbers (8 MB each) are held at once
 VECTORS_PER_TILE = 200_000          # vector rows per tile on the tiled path
 MAX_TILE_TASKS = 100_000
 PAIRS_PER_TASK = 50_000_000         # scores that are worth a task of their own
@@ -80,20 +80,37 @@ def topk_block(Q: np.ndarray, V: np.ndarray, vids: np.ndarray, k: int):
     """Local top-k of every query row against a block of vectors.
 
     Returns ``(query_index, vector_id, dist)`` with at most k rows per query.
-    NaN distances (a NaN component on either side) rank last, by id.
+    NaN distances (a NaN component on either side) rank last, by id. Ties are
+    cut here too: a query without any distance, or with very many equal ones,
+    holds k candidates like any other.
     """
     if len(V) == 0 or len(Q) == 0:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(0)
+    if (vids[1:] < vids[:-1]).any():
+        by_id = np.argsort(vids, kind="stable")
+        V, vids = V[by_id], vids[by_id]
     qn = np.einsum("ij,ij->i", Q, Q)
     vn = np.einsum("ij,ij->i", V, V)
-    D = qn[:, None] + vn[None, :] - 2.0 * (Q @ V.T)
-    D = np.round(np.maximum(D, 0.0), 6) + 0.0
+    D = Q @ V.T
+    D *= -2.0
+    D += qn[:, None] + vn[None, :]
+    np.maximum(D, 0.0, out=D)
+    np.round(D, 6, out=D)
+    D += 0.0
     kk = min(k, D.shape[1])
     if D.shape[1] > kk:
-        order = np.where(np.isnan(D), np.inf, D)
-        thr = np.partition(order, kk - 1, axis=1)[:, kk - 1]
-        qi, vi = np.nonzero(order <= thr[:, None])
+        order = np.minimum(D, np.finfo(np.float64).max)      # infinite before NaN
+        order[np.isnan(order)] = np.inf
+        thr = np.partition(order, kk - 1, axis=1)[:, kk - 1, None]
+        keep = order <= thr
+        many = np.flatnonzero(keep.sum(axis=1) > kk)
+        if len(many):
+            # of the vectors at the limit, those with the smallest ids
+            at = order[many] == thr[many]
+            room = kk - (order[many] < thr[many]).sum(axis=1)
+            keep[many] &= ~at | (np.cumsum(at, axis=1, dtype=np.int32) <= room[:, None])
+        qi, vi = np.nonzero(keep)
     else:
         qi, vi = np.nonzero(np.ones_like(D, dtype=bool))
     return _select_topk(qi.astype(np.int64), vids[vi].astype(np.int64), D[qi, vi], k)

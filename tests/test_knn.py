@@ -160,3 +160,25 @@ def test_state_of_a_task_is_bounded(spark, data, monkeypatch):
         few.append(out)
         most = max(most, out.num_rows)
     assert len(few) > 7 and most <= 9 * 20
+
+
+def test_block_holds_k_candidates_of_a_query_whatever_the_ties():
+    """A NaN query, or one with very many equal vectors, holds no more than others."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    V = rng.normal(size=(4096, 8))
+    V[1000:3000] = V[5]
+    V[::7, 3] = np.nan
+    Q = np.vstack([V[5:6], V[7:8], V[:62]])
+    ids = rng.permutation(len(V))
+    acc = knn._Accumulator(20)
+    tracemalloc.start()
+    knn._score_blocks(np.tile(Q, (16, 1)), V, ids, 20, acc)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20               # matrices of all 1024 queries at once take 32 MB each
+    qi, got, dist = (x[acc.result()[0] < len(Q)] for x in acc.result())
+    for q in range(len(Q)):
+        d = np.round(((V - Q[q]) ** 2).sum(axis=1), 6)
+        want = sorted(range(len(V)), key=lambda i: (np.isnan(d[i]), 0 if np.isnan(d[i]) else d[i], ids[i]))[:20]
+        assert got[qi == q].tolist() == ids[want].tolist()
