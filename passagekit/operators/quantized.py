@@ -74,39 +74,45 @@ def build_byte_index(vectors: DataFrame, path: str, buckets: int = lookup.BUCKET
 
 def _rounded(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(table.num_rows, -1)
-    return code.astype(np.float64) * table["scale"].to_numpy().astype(np.float64)[:, None], table["lost"].to_numpy()
+    return code * table["scale"].to_numpy().astype(np.float64)[:, None], table["lost"].to_numpy()
 
 
 def _ranges(k: int):
     """Per tile and query, the vectors that its own k-th largest distance does
-    not exclude."""
+    not exclude. A block of vectors is rounded and scored at a time, against a
+    block of queries at a time."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.schema([("prompt_id", pa.int64()), ("id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())]).empty_table()
         if not left.num_rows or not right.num_rows:
             return empty
         q, qid = _matrix(left["embedding"]), left["prompt_id"].to_numpy()
-        v, lost = _rounded(right)
         vid = right["id"].to_numpy()
-        parts = []
-        for a in range(0, len(q), QUERY_SUBBLOCK):
-            own = q[a:a + QUERY_SUBBLOCK]
-            # the k smallest upper bounds seen so far, per query
-            best = np.full((len(own), k), np.inf)
-            held = []
-            for s in range(0, len(v), VECTOR_SUBBLOCK):
-                w = v[s:s + VECTOR_SUBBLOCK]
-                square = (own * own).sum(axis=1)[:, None] + (w * w).sum(axis=1) - 2 * (own @ w.T)
-                d = np.sqrt(np.maximum(square, 0))
+        # the k smallest upper bounds seen so far, per query
+        best = np.full((len(q), k), np.inf)
+        held: dict[int, list] = {a: [] for a in range(0, len(q), QUERY_SUBBLOCK)}
+        for s in range(0, len(vid), VECTOR_SUBBLOCK):
+            w, lost = _rounded(right.slice(s, VECTOR_SUBBLOCK))
+            wn = (w * w).sum(axis=1)
+            for a, found in held.items():
+                own, top = q[a:a + QUERY_SUBBLOCK], best[a:a + QUERY_SUBBLOCK]
+                d = own @ w.T
+                d *= -2
+                d += (own * own).sum(axis=1)[:, None] + wn
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
                 # what rounding of the sums may add, and distances compared at six digits
-                slack = lost[None, s:s + VECTOR_SUBBLOCK] + 1e-6 * (1 + d)
-                low, high = np.maximum(d - slack, 0), d + slack
-                both = np.concatenate([best, high], axis=1)
-                best = np.partition(both, k - 1, axis=1)[:, :k]
-                i, j = np.nonzero(low <= best.max(axis=1)[:, None])
-                held.append((i, j + s, low[i, j], high[i, j]))
-            i, j, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+                slack = 1e-6 * (1 + d)
+                slack += lost
+                low = np.maximum(d - slack, 0)
+                d += slack
+                top[:] = np.partition(np.concatenate([top, d], axis=1), k - 1, axis=1)[:, :k]
+                i, j = np.nonzero(low <= top.max(axis=1)[:, None])
+                found.append(((i + a).astype(np.int32), (j + s).astype(np.int32), low[i, j], d[i, j]))
+        parts = []
+        for found in held.values():
+            i, j, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             keep = low <= best.max(axis=1)[i]
-            parts.append(pa.table({"prompt_id": qid[a + i[keep]], "id": vid[j[keep]], "low": low[keep], "high": high[keep]}))
+            parts.append(pa.table({"prompt_id": qid[i[keep]], "id": vid[j[keep]], "low": low[keep], "high": high[keep]}))
         return pa.concat_tables(parts)
     return run
 

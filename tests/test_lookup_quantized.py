@@ -69,3 +69,24 @@ def test_bytes_equal_flat(spark, k):
     else:
         assert [r for r in have if r[3] is not None] == [r for r in rows(want) if r[3] is not None]
     assert rows(quantized.search_bytes(qs.limit(0), index, 3).hits) == []
+
+
+def test_ranges_hold_a_few_small_matrices():
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(1024, 16)).astype(np.float32), rng.integers(-127, 128, (20_000, 16)).astype(np.int8)
+    left = pa.table({"prompt_id": np.arange(1024), "embedding": pa.array(list(q), pa.list_(pa.float32()))})
+    right = pa.table({"id": np.arange(20_000), "code": pa.array([x.tobytes() for x in v], pa.binary()),
+                      "scale": pa.array(np.full(20_000, 0.02), pa.float32()), "lost": np.full(20_000, 0.01)})
+    tracemalloc.start()
+    out = quantized._ranges(5)(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 128 << 20              # a matrix of 1024 x 8192 numbers has 64 MB, and several were held
+    d = np.sqrt(((q[:8, None].astype(float) - v[None] * np.float64(np.float32(0.02))) ** 2).sum(axis=2))
+    found = out.to_pandas()
+    for i in range(8):
+        need = np.flatnonzero(d[i] - 0.01 <= np.sort(d[i] + 0.01)[4])
+        assert set(need) <= set(found[found.prompt_id == i].id)
