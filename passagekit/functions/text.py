@@ -125,7 +125,7 @@ def article_section_texts(text: Column) -> Column:
     # drop the empty piece before the first marker; the split result is
     # referenced once (a second reference would re-run the per-line transform)
     secs = F.filter(F.split(live, "\nS", -1), lambda x, i: i > 0)
-    return F.transform(secs, lambda s: F.substring(F.regexp_replace(s, "\nx", "\n"), 2, 2147483647))
+    return F.transform(secs, lambda s: F.substring(F.replace(s, F.lit("\nx"), F.lit("\n")), 2, 2147483647))
 
 
 # ---- question side ---------------------------------------------------------

@@ -8,7 +8,7 @@ Two written stages, as the collection is built at scale:
    written table cuts lineage, so losing executors later never re-parses
    the articles.
 2. ``sections``: survivors with final ids, partitioned by ``file``, written
-   by id ranges (:func:`write_sections_colocated`); plus
+   by runs of ids (:func:`write_sections_colocated`); plus
    the ``(id, file)`` metadata table. The survivor key table in between is
    written too (small), so no step recomputes the key pipeline.
 """
@@ -24,6 +24,8 @@ from ..operators import corpus
 from ..session import scratch_path
 from ..sources import writers
 
+ROWS_PER_WRITER = 25_000     # rows of a file that one task writes
+
 
 @dataclass
 class CorpusPaths:
@@ -62,13 +64,15 @@ def survivor_keys(staged: DataFrame, rows_per_file: int = corpus.ROWS_PER_FILE,
 def write_sections_colocated(staged: DataFrame, survivors: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Attach final ids to the text and write it partitioned by ``file``.
 
-    One plan at any size: the planner picks the join, and a range placement by
-    id gives every task contiguous ids, so it writes a few ``file`` directories
-    only, whatever the number of files.
+    One plan at any size: the planner picks the join, and rows are dealt by
+    ``file`` and, in it, by runs of ``ROWS_PER_WRITER`` ids, so a ``file`` has few
+    writers, whatever the number of files. Ids are dense, so these parts are even
+    without a look at the rows (range bounds would be sampled in a first pass over
+    the join and its text).
     """
     cols = ["id", "text", "first_sentence", "file", "id1", "doc_id", "sec"]
     text = staged.select("doc_id", "sec", "text", "first_sentence")
-    (text.join(survivors, ["doc_id", "sec"]).select(*cols).repartitionByRange("id")
+    (text.join(survivors, ["doc_id", "sec"]).select(*cols).repartition("file", corpus.idiv("id", ROWS_PER_WRITER))
      .sortWithinPartitions("file", "id").write.mode(mode).partitionBy("file").parquet(path))
 
 

@@ -73,3 +73,21 @@ def test_colocated_write_touches_few_files_per_task(spark):
     local = path[len("file:"):] if path.startswith("file:") else path
     parts = [len(glob.glob(os.path.join(d, "*.parquet"))) for d in glob.glob(os.path.join(local, "file=*"))]
     assert len(parts) == 9 and max(parts) <= 4     # contiguous placement: 16 partitions, few writers per file
+
+
+def test_a_file_is_written_by_one_task(spark):
+    import glob
+    docs = spark.createDataFrame([(i, "\n".join(f"Line {j} of document {i} has some fifty characters or more." for j in range(3))) for i in range(60)],
+                                 "doc_id long, text string")
+    staged = corpus_build.stage_sections(docs, scratch_path(spark, "t-st"))
+    path = scratch_path(spark, "t-one-writer")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_build.write_sections_colocated(staged, corpus_build.survivor_keys(staged, rows_per_file=13), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    out = spark.read.parquet(path)
+    assert sorted((r.id, r.file) for r in out.collect()) == [(i, i // 13) for i in range(60)]
+    files = glob.glob(path.removeprefix("file:") + "/file=*/*.parquet")
+    assert len(files) == 5
